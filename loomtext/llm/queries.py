@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import chat, mixing, quality, sharding, simhash, tokens
+from loomtext.llm import chat, decontamination, licenses, mixing, pii, quality, secrets, sharding, simhash, tokens
 from loomtext.llm.common import read_table
 
 
@@ -24,10 +24,27 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents")).select(*columns)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("score", 6).alias("score"), "start_word", "end_word")
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(read_table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(read_table(spark, sf_dir, "documents"))
+
+
 #: The conversation that the contract adds.
 EXTRA = "SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(t AS BIGINT) AS turn, r AS role, concat(chr(92), '### Assistant: </turn> ok') AS text FROM VALUES (0, 'user'), (1, 'assistant') AS v(t, r)"
 
@@ -73,9 +90,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
+    "op4_decontamination": op4_decontamination,
+    "op5_secrets": op5_secrets,
     "op6_mixing": op6_mixing,
     "op7_chat": op7_chat,
+    "op8_licenses": op8_licenses,
     "op9_sharding": op9_sharding,
+    "op10_pii": op10_pii,
 }
 
 SQL: dict[str, str] = {"op7_chat": OP7_SQL}
