@@ -34,14 +34,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     return per.select("source", "n", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("weight") * left("source_size") / left("weight")).alias("target"))
 
 
-def settle(size: list[int], p: list[float], u: list[float], last: bool) -> list[float]:
-    """Pivotal rounding of one group: pairs pass mass (size times probability) until one of the two is integral.
-
-    size * p keeps its sum but for the one document that may stay fractional; every expectation stays as it was. `last` rounds that one too.
-    """
-    p = [0.0 if s == 0 else x for s, x in zip(size, p, strict=True)]
+def _pair_off(size: list[int], p: list[float], u: list[float], members: range) -> int:
+    """Pairs of fractional members pass mass until one of the two is integral; returns the one left over, or -1."""
     at = -1
-    for j in range(len(p)):
+    for j in members:
         if not 0.0 < p[j] < 1.0:
             continue
         if at < 0:
@@ -56,8 +52,38 @@ def settle(size: list[int], p: list[float], u: list[float], last: bool) -> list[
             p[at], p[j] = (0.0 if have <= gain else p[at] - down / a), (1.0 if gain <= have else p[j] + down / b)
         if not 0.0 < p[at] < 1.0:
             at = j if 0.0 < p[j] < 1.0 else -1
+    return at
+
+
+def settle(size: list[int], p: list[float], u: list[float], last: bool) -> list[float]:
+    """Pivotal rounding of one group, given with falling sizes: size * p keeps its sum but for one document that may stay fractional.
+
+    Every expectation stays as it was. A pair leaves its larger document fractional, so the smallest documents are set aside as far as
+    their mass can make up for the largest one; the larger ones pair off, the one left over is settled against those set aside in
+    equal shares, and then they pair off: what is left over is small. `last` rounds that one too.
+    """
+    p = [0.0 if s == 0 else x for s, x in zip(size, p, strict=True)]
+    n = len(p)
+    largest = max((s for s, x in zip(size, p, strict=True) if 0.0 < x < 1.0), default=0)
+    aside, total, room = n, 0, 1.0
+    while aside > 0 and room * total < largest:
+        aside -= 1
+        if 0.0 < p[aside] < 1.0:
+            total += size[aside]
+            room = min(room, p[aside], 1 - p[aside])
+    if room * total < largest or aside == 0:
+        aside = n
+    at = _pair_off(size, p, u, range(aside))
+    if at >= 0 and aside < n:
+        up = (u[at] * 1048573.0) % 1.0 < p[at]
+        move = ((p[at] - 1) if up else p[at]) * size[at] / total
+        p[at] = 1.0 if up else 0.0
+        for j in range(aside, n):
+            if 0.0 < p[j] < 1.0:
+                p[j] = min(1.0, max(0.0, p[j] + move))
+        at = _pair_off(size, p, u, range(aside, n))
     if last and at >= 0:
-        p[at] = 1.0 if u[at] < p[at] else 0.0
+        p[at] = 1.0 if (u[at] * 1048573.0) % 1.0 < p[at] else 0.0
     return p
 
 
