@@ -1,14 +1,517 @@
-"""The registered queries of the search engine, and SQL that gives the same rows."""
+"""The registered queries of the search engine, and SQL that gives the same rows where SQL can express them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomtext.functions import analysis, scalars
+from loomtext.functions.stemmer import stem_terms
+from loomtext.functions.stopwords import ENGLISH
+from loomtext.operators import abstracts, documents, highlight, maintenance, phrases
+from loomtext.operators.index import FieldDef, Index, Schema
+from loomtext.operators.search import Searcher
+from loomtext.plans.parser import Sort, SortField
+from loomtext.plans.query import Boolean, Fuzzy, MatchAll, Phrase, Range, Regex, Term, TypedRange, TypedTerm, Wildcard
+from loomtext.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+SCHEMA = Schema((FieldDef("text"), FieldDef("source", index="untokenized"), FieldDef("lang", index="untokenized")), analyzer="lowercase", key="source")
+_OPEN: dict[tuple[str, str], Index] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> Index:
+    """The index over documents; built once in a session for each folder, as a search engine's index is."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _OPEN:
+        _OPEN[key] = Index.build(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), SCHEMA)
+    return _OPEN[key]
+
+
+def query(name: str, sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return register
+
+
+# --- SQL building blocks -----------------------------------------------------------------------------------------------
+
+ARRAYS = "arr AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[a-zA-Z]+'), lambda x: lower(x)) AS a FROM documents)"
+POSTINGS = f"""{ARRAYS},
+tok AS (SELECT doc_id, unnest(a) AS term, unnest(range(len(a))) AS pos FROM arr),
+p AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY ALL),
+len AS (SELECT doc_id, count(*) AS length FROM tok GROUP BY doc_id),
+tbl AS (SELECT b, CASE WHEN b = 0 THEN CAST(0 AS DOUBLE) ELSE (1 + (b & 3) / CAST(4 AS DOUBLE)) * pow(CAST(2 AS DOUBLE), 96 + (b >> 2) - 127) END AS v FROM range(256) t(b)),
+byte AS (SELECT length, min(b) AS b FROM (SELECT DISTINCT length FROM len) JOIN tbl ON v >= 1 / sqrt(CAST(length AS DOUBLE)) GROUP BY length),
+norm AS (SELECT doc_id, length, b, v AS norm FROM len JOIN byte USING (length) JOIN tbl USING (b)),
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents),
+d AS (SELECT term, count(*) AS df, 1 + ln((SELECT n FROM n) / (count(*) + 1)) AS idf FROM p GROUP BY term)"""
+
+
+def idf_sql(term: str) -> str:
+    return f"(SELECT 1 + ln((SELECT n FROM n) / ((SELECT count(*) FROM p WHERE term = '{term}') + 1)))"
+
+
+def term_sql(term: str, boost: float, q: str) -> str:
+    return f"SELECT doc_id, sqrt(tf) * {idf_sql(term)} * {idf_sql(term)} * {boost} * {q} * norm AS score FROM p JOIN norm USING (doc_id) WHERE term = '{term}'"
+
+
+def q_sql(*weights: str) -> str:
+    return "(1 / sqrt(" + " + ".join(f"pow({w}, 2)" for w in weights) + "))"
+
+
+def multi_sql(where: str) -> str:
+    q = f"(SELECT 1 / sqrt(sum(idf * idf)) FROM d WHERE {where})"
+    return f"WITH {POSTINGS} SELECT doc_id, round(score, 6) AS score FROM (SELECT doc_id, sum(sqrt(tf) * idf * idf * {q}) * any_value(norm) AS score FROM p JOIN d USING (term) JOIN norm USING (doc_id) WHERE {where} GROUP BY doc_id) WHERE score > 0"
+
+
+def bool_sql(must: list[str] = (), should: list[str] = (), must_not: list[str] = ()) -> str:
+    q = q_sql(*[idf_sql(t) for t in (*must, *should)])
+    names = [(f"m{i}", t) for i, t in enumerate(must)] + [(f"s{i}", t) for i, t in enumerate(should)]
+    parts = ", ".join(f"{n} AS ({term_sql(t, 1.0, q)})" for n, t in names)
+    joins = " ".join(f"LEFT JOIN {n} ON {n}.doc_id = x.doc_id" for n, _ in names)
+    test = " AND ".join(f"{n}.doc_id IS NOT NULL" for n, _ in names if n[0] == "m") or "(" + " OR ".join(f"{n}.doc_id IS NOT NULL" for n, _ in names) + ")"
+    gone = "".join(f" AND x.doc_id NOT IN (SELECT doc_id FROM p WHERE term = '{t}')" for t in must_not)
+    score = " + ".join(f"coalesce({n}.score, 0)" for n, _ in names)
+    return f"WITH {POSTINGS}, {parts} SELECT x.doc_id, round({score}, 6) AS score FROM documents x {joins} WHERE {test}{gone}"
+
+
+def hits(spark: SparkSession, sf_dir: str, q, **options) -> DataFrame:
+    return Searcher(index_of(spark, sf_dir)).hits(q, **options).select("doc_id", F.round("score", 6).alias("score"))
+
 
+def page(spark: SparkSession, sf_dir: str, q, **options) -> DataFrame:
+    return Searcher(index_of(spark, sf_dir)).search(q, **options).select("doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def page_sql(inner: str, first: int = 0, num: int = 10) -> str:
+    return f"SELECT doc_id, score, rank FROM (SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM ({inner})) WHERE rank > {first} AND rank <= {first + num}"
+
+
+ONE = f"WITH {POSTINGS} " + page_sql(term_sql("thanon", 1.0, q_sql(idf_sql("thanon"))))
+
+
+@query("q_term_topk", ONE)
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").limit(10)
+    return page(spark, sf_dir, Term("text", "thanon"))
+
+
+# --- analysis ----------------------------------------------------------------------------------------------------------
+
+
+def _tokens_sql(pattern: str, lower: bool = False) -> str:
+    found = f"regexp_extract_all(coalesce(text, ''), '{pattern}')"
+    found = f"list_transform({found}, lambda x: lower(x))" if lower else found
+    return f"SELECT doc_id, CAST(position AS INTEGER) AS position, image FROM (SELECT doc_id, unnest({found}) AS image, unnest(range(len({found}))) AS position FROM documents)"
+
+
+def _token_query(name: str, analyzer: analysis.Analyzer, sql: str | None) -> None:
+    query(name, sql)(lambda spark, sf_dir: analysis.token_table(table(spark, sf_dir, "documents"), "text", analyzer))
+
+
+_token_query("tok_letter", analysis.letter, _tokens_sql("[a-zA-Z]+"))
+_token_query("tok_lowercase", analysis.lowercase, _tokens_sql("[a-zA-Z]+", True))
+_token_query("tok_word", analysis.word, _tokens_sql(r"[a-zA-Z0-9.\-@]+"))
+_token_query("tok_whitespace", analysis.whitespace, _tokens_sql(r"[^\t\n\v\f\r \x1c-\x1f\x{85}\x{a0}]+"))
+_token_query("tok_standard", analysis.standard(), None)
+_token_query("tok_base", analysis.base, _tokens_sql(r"[\p{L}\p{M}\p{Nd}\p{Pc}]+"))
+
+
+@query("tok_text_typed")
+def tok_text_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = analysis.text().typed(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(t).alias("position", "t")).select("doc_id", "position", "t.image", "t.type")
+
+
+@query("tok_query", None)
+def tok_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.token_table(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "text"), "text", analysis.query())
+
+
+@query("tok_escape")
+def tok_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = analysis.escape().typed(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(t).alias("position", "t")).select("doc_id", "position", "t.image", "t.type")
+
+
+_OPS = ["the", "of", "and"]
+
+
+@query("tok_operators", f"SELECT doc_id, CAST(position AS INTEGER) AS position, image, CASE WHEN image IN ('the', 'of', 'and') THEN 'operator' ELSE 'word' END AS type FROM ({_tokens_sql('[a-zA-Z]+', True)})")
+def tok_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = analysis.operators(_OPS).typed(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(t).alias("position", "t")).select("doc_id", "position", "t.image", "t.type")
+
+
+@query("tok_offsets")
+def tok_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.offsets(table(spark, sf_dir, "documents"), "text", analysis.lowercase)
+
+
+@query("stem_porter")
+def stem_porter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stems of the dictionary's words: each distinct word once."""
+    words = index_of(spark, sf_dir).terms().filter("field = 'text'").select("term")
+    return words.select("term", stem_terms(F.col("term")).alias("stem"))
+
+
+_STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH)
+
+
+@query("stop_filtered_positions", f"WITH {ARRAYS}, f AS (SELECT doc_id, list_filter(a, lambda x: NOT list_contains([{_STOPS}], x)) AS a FROM arr) SELECT doc_id, CAST(position AS INTEGER) AS position, image FROM (SELECT doc_id, unnest(a) AS image, unnest(range(len(a))) AS position FROM f)")
+def stop_filtered_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.token_table(table(spark, sf_dir, "documents"), "text", analysis.stop())
+
+
+# --- index tables ------------------------------------------------------------------------------------------------------
+
+
+@query("postings_tf", f"WITH {POSTINGS} SELECT term, doc_id, tf FROM p")
+def postings_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_of(spark, sf_dir).postings().filter("field = 'text'").select("term", "doc_id", "tf")
+
+
+@query("doc_freq", f"WITH {POSTINGS} SELECT term, df FROM d")
+def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_of(spark, sf_dir).terms().filter("field = 'text'").select("term", "df")
+
+
+@query("field_lengths", f"WITH {POSTINGS} SELECT doc_id, length FROM len")
+def field_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_of(spark, sf_dir).norms().filter("field = 'text'").select("doc_id", "length")
+
+
+@query("norms_byte", f"WITH {POSTINGS} SELECT doc_id, CAST(b AS INTEGER) AS norm_byte, norm FROM norm")
+def norms_byte(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_of(spark, sf_dir).norms().filter("field = 'text'").select("doc_id", "norm_byte", "norm")
+
+
+@query("term_vector", f"WITH {POSTINGS} SELECT doc_id, string_agg(term || ':' || tf, ' ' ORDER BY term) AS vector FROM p GROUP BY doc_id")
+def term_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = index_of(spark, sf_dir).term_vector("text")
+    return v.select("doc_id", F.array_join(F.transform("terms", lambda t: F.concat_ws(":", t["term"], t["tf"].cast("string"))), " ").alias("vector"))
+
+
+@query("term_positions", f"WITH {POSTINGS} SELECT doc_id, string_agg(CAST(pos AS VARCHAR), ' ' ORDER BY pos) AS positions FROM tok WHERE term IN ('the', 'of') GROUP BY doc_id")
+def term_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = index_of(spark, sf_dir).term_positions("text", "the", "of")
+    return v.select("doc_id", F.array_join(F.transform("positions", lambda x: x.cast("string")), " ").alias("positions"))
+
+
+@query("term_dictionary_range", f"WITH {POSTINGS} SELECT term, df FROM d WHERE term >= 'than'")
+def term_dictionary_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_of(spark, sf_dir).terms_from("text", "than").select("term", "df")
+
+
+@query("term_docs", f"WITH {POSTINGS} SELECT doc_id, tf FROM p WHERE term = 'the'")
+def term_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_of(spark, sf_dir).term_docs("text", "the")
+
+
+@query("document_with_term", "SELECT doc_id, source FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents WHERE source = 'src3')")
+def document_with_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_of(spark, sf_dir).document_with("source", "src3").select("doc_id", "source")
+
+
+@query("index_counts", "SELECT count(*) AS max_doc, count(*) AS num_docs FROM documents")
+def index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_of(spark, sf_dir).stored().agg(F.count("*").alias("max_doc"), F.count("*").alias("num_docs"))
+
+
+# --- queries -----------------------------------------------------------------------------------------------------------
+
+
+@query("q_term_boost", f"WITH {POSTINGS} " + page_sql(term_sql("thanon", 3.0, q_sql(f"{idf_sql('thanon')} * 3.0"))))
+def q_term_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page(spark, sf_dir, Term("text", "thanon", boost=3.0))
+
+
+@query("q_term_page", f"WITH {POSTINGS} " + page_sql(term_sql("the", 1.0, q_sql(idf_sql("the"))), 20, 15))
+def q_term_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page(spark, sf_dir, Term("text", "the"), first=20, num=15)
+
+
+_BOOLEANS = {
+    "q_bool_must": {"must": ["the", "thanon"]},
+    "q_bool_should": {"should": ["thanon", "erin"]},
+    "q_bool_mustnot": {"must": ["the"], "must_not": ["of", "was"]},
+    "q_bool_mixed": {"must": ["the", "and"], "should": ["thanon", "erin"], "must_not": ["was"]},
+}
+for _name, _parts in _BOOLEANS.items():
+    query(_name, bool_sql(**_parts))(lambda spark, sf_dir, p=_parts: hits(spark, sf_dir, Boolean.of(**{k: [Term("text", t) for t in v] for k, v in p.items()})))
+
+
+@query("q_bool_only_not", "SELECT doc_id, CAST(0 AS DOUBLE) AS score FROM documents WHERE false")
+def q_bool_only_not(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hits(spark, sf_dir, Boolean.of(must_not=[Term("text", "the")]))
+
+
+def _phrase_sql(terms: list[tuple[str, int]]) -> str:
+    total = "(" + " + ".join(idf_sql(t) for t, _ in terms) + ")"
+    first = terms[0]
+    joins = " ".join(f"JOIN tok t{i} ON t{i}.doc_id = t0.doc_id AND t{i}.pos - {o} = t0.pos - {first[1]} AND t{i}.term = '{t}'" for i, (t, o) in enumerate(terms[1:], 1))
+    return f"WITH {POSTINGS}, f AS (SELECT t0.doc_id, count(*) AS freq FROM tok t0 {joins} WHERE t0.term = '{first[0]}' GROUP BY t0.doc_id) SELECT doc_id, round(sqrt(freq) * {total} * {total} * {q_sql(total)} * norm, 6) AS score FROM f JOIN norm USING (doc_id)"
+
+
+@query("q_phrase_exact", _phrase_sql([("of", 0), ("the", 1)]))
+def q_phrase_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hits(spark, sf_dir, Phrase.of("text", ["of", "the"]))
+
+
+@query("q_phrase_gap", _phrase_sql([("the", 0), ("of", 2)]))
+def q_phrase_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hits(spark, sf_dir, Phrase.of("text", ["the", ".", "of"]))
+
+
+@query("q_phrase_sloppy")
+def q_phrase_sloppy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hits(spark, sf_dir, Phrase.of("text", ["the", "of"], slop=3))
+
+
+_MULTI = {
+    "q_wildcard_prefix": (Wildcard("text", "thano*"), "term LIKE 'thano%'"),
+    "q_wildcard_inner": (Wildcard("text", "th*n?n"), "term LIKE 'th%n_n'"),
+    "q_regex_terms": (Regex("text", "er(in|on)$"), "regexp_matches(term, '^er') AND regexp_matches(substr(term, 3), '(in|on)$')"),
+    "q_range_terms_incl": (Range("text", "erin", "eris"), "term >= 'erin' AND term <= 'eris'"),
+    "q_range_terms_excl": (Range("text", "erin", "eris", False, False), "term > 'erin' AND term < 'eris'"),
+    "q_range_terms_open": (Range("text", "zu", None), "term >= 'zu'"),
+    "q_fuzzy": (Fuzzy("text", "thanon", 0.8), "1 - levenshtein(term, 'thanon') / CAST(length(term) AS DOUBLE) >= 0.8"),
+}
+for _name, (_q, _where) in _MULTI.items():
+    query(_name, multi_sql(_where))(lambda spark, sf_dir, q=_q: hits(spark, sf_dir, q))
+
+
+@query("q_match_all", "SELECT doc_id, CAST(1 AS DOUBLE) AS score FROM documents")
+def q_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hits(spark, sf_dir, MatchAll())
+
+
+def _typed(spark: SparkSession, sf_dir: str, name: str, key: str, fields: tuple[FieldDef, ...], q) -> DataFrame:
+    """Typed queries read stored columns only, so the index is the table itself."""
+    source = table(spark, sf_dir, name).withColumnRenamed(key, "doc_id")
+
+    from loomtext.plans import planner
+
+    schema = Schema(fields)
+    found = source.filter(planner.typed_predicate(_TypedIndex(spark, source, schema), q))
+    return found.select("doc_id", F.lit(1.0).alias("score"))
+
+
+class _TypedIndex:
+    def __init__(self, spark: SparkSession, source: DataFrame, schema: Schema):
+        self.source, self.schema, self.spark, self.path = source, schema, self, ""
+        self.read = self
+
+    def parquet(self, _: str) -> DataFrame:
+        return self.source
+
+
+@query("q_int_range", "SELECT p_partkey AS doc_id, CAST(1 AS DOUBLE) AS score FROM part WHERE p_size >= 10 AND p_size < 20")
+def q_int_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _typed(spark, sf_dir, "part", "p_partkey", (FieldDef("p_size", index=None, type="int"),), TypedRange("p_size", "int", "10", "20", True, False))
+
+
+@query("q_float_range", "SELECT o_orderkey AS doc_id, CAST(1 AS DOUBLE) AS score FROM orders WHERE o_totalprice > 100000 AND o_totalprice <= 200000")
+def q_float_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _typed(spark, sf_dir, "orders", "o_orderkey", (FieldDef("o_totalprice", index=None, type="float"),), TypedRange("o_totalprice", "float", "100000", "200000", False, True))
+
+
+@query("q_date_range", "SELECT o_orderkey AS doc_id, CAST(1 AS DOUBLE) AS score FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1997-03-01' AND CAST(o_orderdate AS DATE) < DATE '1998-01-01'")
+def q_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _typed(spark, sf_dir, "orders", "o_orderkey", (FieldDef("o_orderdate", index=None, type="date"),), TypedRange("o_orderdate", "date", "199703", "1997", True, True))
+
+
+@query("q_date_partial", "SELECT o_orderkey AS doc_id, CAST(1 AS DOUBLE) AS score FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1996-12-01' AND CAST(o_orderdate AS DATE) < DATE '1997-01-01'")
+def q_date_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _typed(spark, sf_dir, "orders", "o_orderkey", (FieldDef("o_orderdate", index=None, type="date"),), TypedTerm("o_orderdate", "date", "1996-12"))
+
+
+@query("q_filter_semi", f"SELECT * FROM ({bool_sql(should=['thanon'])}) WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def q_filter_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hits(spark, sf_dir, Term("text", "thanon"), restrict=table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id"))
+
+
+@query("q_score_cutoff", f"SELECT * FROM ({bool_sql(should=['the'])}) WHERE score > 0.05")
+def q_score_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hits(spark, sf_dir, Term("text", "the")).filter("score > 0.05")
+
+
+@query("q_sort_field", f"WITH h AS ({bool_sql(should=['thanon'])}) SELECT doc_id, source, rank FROM (SELECT doc_id, source, row_number() OVER (ORDER BY source NULLS LAST, doc_id) AS rank FROM h JOIN documents USING (doc_id)) WHERE rank <= 25")
+def q_sort_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = Searcher(index_of(spark, sf_dir)).documents(Term("text", "thanon"), ("source",), num=25, sort=Sort((SortField("source"),)))
+    return found.select("doc_id", "source", F.col("rank").cast("long").alias("rank"))
+
+
+@query("q_sort_multi_rev", f"WITH h AS ({bool_sql(should=['the'])}) SELECT doc_id, rank FROM (SELECT doc_id, row_number() OVER (ORDER BY lang DESC NULLS FIRST, source NULLS LAST, doc_id) AS rank FROM h JOIN documents USING (doc_id)) WHERE rank <= 40")
+def q_sort_multi_rev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = Searcher(index_of(spark, sf_dir)).search(Term("text", "the"), num=40, sort=Sort((SortField("lang", True), SortField("source"))))
+    return found.select("doc_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("q_sort_docorder", f"WITH h AS ({bool_sql(should=['the'])}) SELECT doc_id, rank FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) AS rank FROM h) WHERE rank <= 12")
+def q_sort_docorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Searcher(index_of(spark, sf_dir)).search("text:the/-document:0,12").select("doc_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("q_parse_string", page_sql(bool_sql(must=["the"], should=["thanon", "erin"], must_not=["was"]), 5, 30))
+def q_parse_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page(spark, sf_dir, "+text:the text:thanon text:erin -text:was/score:5,30")
+
+
+@query("q_key_lookup", "SELECT doc_id, CAST(1 AS DOUBLE) AS score FROM documents WHERE lower(source) = 'src7'")
+def q_key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Searcher(index_of(spark, sf_dir)).by_key("SRC7")
+
+
+@query("q_chosen_fields", "SELECT doc_id, lang, source FROM (" + page_sql(bool_sql(should=["thanon"])) + ") JOIN documents USING (doc_id)")
+def q_chosen_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Searcher(index_of(spark, sf_dir)).documents("text:thanon/score[lang s*]").select("doc_id", "lang", "source")
+
+
+# --- aggregates and documents --------------------------------------------------------------------------------------------
+
+
+@query("field_values", "SELECT DISTINCT source AS value FROM documents WHERE source <> ''")
+def field_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_of(spark, sf_dir).field_values("source")
+
+
+@query("key_frequency", "SELECT lower(source) AS key, count(*) AS n FROM documents GROUP BY 1")
+def key_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_of(spark, sf_dir).key_frequency()
+
+
+@query("metadata_vector", "SELECT doc_id, source AS key, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS VARCHAR) AS author, lang AS language FROM documents")
+def metadata_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return highlight.digest(table(spark, sf_dir, "documents"), "source", language="lang")
+
+
+@query("corpus_survey", "SELECT count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS total, CAST(floor(avg(n_chars)) AS BIGINT) AS average, count(*) FILTER (n_chars = 0) AS empty FROM documents")
+def corpus_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.survey(table(spark, sf_dir, "documents").select(F.col("n_chars").alias("size")))
+
+
+@query("line_counts", "SELECT doc_id, CAST(CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN text LIKE '%' || chr(10) THEN 1 ELSE 0 END END AS INTEGER) AS lines FROM documents")
+def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", files.line_count(F.col("text")).cast("int").alias("lines"))
+
+
+@query("news_source", "SELECT doc_id AS path, string_split(text, chr(10))[1] AS title, substr(text, length(string_split(text, chr(10))[1]) + 2) AS body FROM documents")
+def news_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.news(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text"))
+
+
+@query("suffix_counts", "SELECT regexp_extract(url, '([^/-]*)$', 1) AS suffix, count(*) AS n FROM (SELECT regexp_replace(string_split(url, '/')[-1], '\\.[^.]*$', '') AS url FROM pages) GROUP BY 1")
+def suffix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.by_suffix(table(spark, sf_dir, "pages").select(F.col("url").alias("path")))
+
+
+@query("html_strip", "SELECT page_id, regexp_replace(html, '<[^>]*>', '', 'g') AS text FROM pages")
+def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", scalars.strip_html(F.col("html")).alias("text"))
+
+
+@query("html_escape", "SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS text FROM pages")
+def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", scalars.escape_html(F.col("html")).alias("text"))
+
+
+@query("multi_values", "SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS joined, count(*) AS n FROM conversations GROUP BY conv_id")
+def multi_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation's turns as the values of one field."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(ordered.alias("values"))
+    return rows.select("conv_id", documents.joined_values(F.col("values")).alias("joined"), F.size("values").cast("long").alias("n"))
+
+
+# --- changes -----------------------------------------------------------------------------------------------------------
+
+
+def _new_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    new = c.filter("c_custkey % 10 = 0").select((F.col("c_custkey") + F.when(F.col("c_custkey") % 20 == 0, 1_000_000).otherwise(0)).alias("c_custkey"), F.concat(F.when(F.col("c_custkey") % 20 == 0, F.lit("New ")).otherwise(F.lit("")), F.upper("c_name")).alias("c_name"))
+    return c, new
+
+
+_NEW = "new AS (SELECT c_custkey + CASE WHEN c_custkey % 20 = 0 THEN 1000000 ELSE 0 END AS c_custkey, CASE WHEN c_custkey % 20 = 0 THEN 'New ' ELSE '' END || upper(c_name) AS c_name FROM customer WHERE c_custkey % 10 = 0)"
+
+
+@query("upsert_by_key", f"WITH {_NEW} SELECT c_custkey, c_name FROM customer WHERE lower(c_name) NOT IN (SELECT lower(c_name) FROM new) UNION ALL SELECT * FROM new")
+def upsert_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintenance.upsert_rows(*_new_orders(spark, sf_dir), "c_name")
+
+
+@query("insert_if_absent", f"WITH {_NEW} SELECT c_custkey, c_name FROM customer UNION ALL SELECT * FROM new WHERE lower(c_name) NOT IN (SELECT lower(c_name) FROM customer)")
+def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintenance.insert_rows(*_new_orders(spark, sf_dir), "c_name")
+
+
+@query("delete_by_query", f"WITH {POSTINGS} SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM p WHERE term = 'thanon')")
+def delete_by_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintenance.delete(index_of(spark, sf_dir), Term("text", "thanon")).stored().select("doc_id", "source")
+
+
+@query("update_by_query", f"WITH {POSTINGS} SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM p WHERE term = 'thanon') THEN 'changed' ELSE lang END AS lang FROM documents")
+def update_by_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintenance.update(index_of(spark, sf_dir), Term("text", "thanon"), {"lang": "changed"}).stored().select("doc_id", "lang")
+
+
+@query("merge_indexes", f"WITH {POSTINGS} SELECT term, 2 * df AS df FROM d")
+def merge_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = index_of(spark, sf_dir)
+    return maintenance.merge([one, one]).terms().filter("field = 'text'").select("term", "df")
+
+
+@query("compact", f"WITH {POSTINGS} SELECT term, count(*) AS df FROM p WHERE doc_id NOT IN (SELECT doc_id FROM p WHERE term = 'thanon') GROUP BY term")
+def compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintenance.compact(maintenance.delete(index_of(spark, sf_dir), Term("text", "thanon"))).terms().filter("field = 'text'").select("term", "df")
+
+
+# --- text analytics ------------------------------------------------------------------------------------------------------
+
+
+@query("highlight_terms", r"SELECT doc_id, regexp_replace(text, '(?i)\b(the|erin)\b', '<b>\1</b>', 'g') AS marked FROM documents WHERE lang = 'en'")
+def highlight_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    patterns = highlight.expressions(Boolean.of(should=[Term("text", "the"), Term("text", "erin")]))["text"]
+    return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", highlight.tag(F.col("text"), patterns).alias("marked"))
+
+
+@query("precis_first_sentence", r"SELECT doc_id, trim(list_filter(regexp_extract_all(text, '[^.;!?,]*[.;!?,]*\s*'), lambda s: regexp_matches(s, '(?i)\bthe\b'))[1], ' ' || chr(10)) AS precis FROM documents WHERE lang = 'en'")
+def precis_first_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = highlight.precis(F.col("text"), highlight.expressions(Term("text", "the"))["text"])
+    return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.trim(got, F.lit(" \n")).alias("precis"))
+
+
+@query("phrases_repeated")
+def phrases_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.text_phrases(table(spark, sf_dir, "documents"), "text").select("doc_id", "phrase", "n", "redundant")
+
+
+_WORDS = r"regexp_extract_all(text, '[a-zA-Z0-9]+|[^\p{L}\p{M}\p{Nd}\p{Pc}]')"
+
+
+@query("token_frequencies", f"SELECT doc_id, lower(w) AS word, count(*) AS n FROM (SELECT doc_id, unnest({_WORDS}) AS w FROM documents) WHERE regexp_matches(w, '^[a-zA-Z]+$') AND lower(w) NOT IN ({_STOPS}) GROUP BY ALL")
+def token_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.token_frequencies(table(spark, sf_dir, "documents"), "text")
+
+
+@query("word_abstract")
+def word_abstract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abstracts.abstract(table(spark, sf_dir, "documents"), "text", "erin").withColumn("saturation", F.round("saturation", 6))
+
+
+@query("word_map")
+def word_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abstracts.wordmap(table(spark, sf_dir, "documents"), "text", "erin").withColumn("saturation", F.round("saturation", 6))
