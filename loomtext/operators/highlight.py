@@ -80,7 +80,7 @@ def whole_match(text: Column, patterns: list[str]) -> Column:
 def precis(text: Column, patterns: list[str], every: bool = False) -> Column:
     """The first matching stretch between . ; ! ? and commas, or all of them."""
     found = F.filter(sentences(text, ".;!?,"), lambda s: s.rlike(any_of(patterns)))
-    found = F.transform(found, F.trim)
+    found = F.transform(found, lambda s: F.trim(s))
     return found if every else F.try_element_at(found, F.lit(1))
 
 

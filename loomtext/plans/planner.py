@@ -223,7 +223,8 @@ class Planner:
         mine = rows.filter(F.col("term").isin(*{t for t, _ in q.terms}))
         each = [F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"p{i}") for i, (t, _) in enumerate(q.terms)]
         together = mine.groupBy("doc_id").agg(*each).dropna()
-        places = F.array(*[F.transform(F.col(f"p{i}"), lambda p, o=o: p - F.lit(o)) for i, (_, o) in enumerate(q.terms)])
+        # an offset is part of the expression, as a second parameter of the function would be the place in the array
+        places = F.array(*[F.expr(f"transform(p{i}, p -> p - {o})") for i, (_, o) in enumerate(q.terms)])
         slop = q.slop
 
         def run(batch: pd.Series) -> pd.Series:
