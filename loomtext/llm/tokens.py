@@ -223,11 +223,17 @@ class TokenStore:
     path: str
 
     def chunks(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/parts/kind=chunk").select("hash", "payload")
+        return self._parts().filter("kind = 'chunk'").select("hash", "payload")
+
+    def _parts(self) -> DataFrame:
+        return self.spark.read.schema(_PARTS).parquet(f"{self.path}/parts")
+
+    def references(self) -> DataFrame:
+        return self._parts().filter("kind = 'ref'")
 
     def recipes(self) -> DataFrame:
-        """(doc_id, rid, n_tokens, part, local_start, chunks array<(hash, n, tail)>)"""
-        return self.spark.read.parquet(f"{self.path}/recipes")
+        """(doc_id, rid, n_tokens, chunks array<(hash, n, tail)>, part, local_start, leaf)"""
+        return self.spark.read.schema(_RECIPES).parquet(f"{self.path}/recipes")
 
     def manifest(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/manifest")
@@ -241,6 +247,8 @@ class TokenStore:
         return r.join(per, r["part"] == per["_part"]).withColumn("start", (F.col("_before") + F.col("local_start")).cast("long")).drop("_part", "_before")
 
 
+_PARTS = "hash binary, payload binary, doc_id long, rid long, seq int, n int, tail long, kind string"
+_RECIPES = "doc_id long, rid long, n_tokens long, chunks array<struct<hash: binary, n: int, tail: long>>, part int, local_start long, leaf binary"
 _STAGED = "kind string, hash binary, payload binary, doc_id long, rid long, seq int, n int, tail long"
 
 
@@ -300,8 +308,8 @@ def write_store(docs: DataFrame, path: str | None = None, tokenizer: str | None
     dealt = staged.withColumn("_place", place).repartition("_place").drop("_place").sortWithinPartitions("kind", "hash")
     dealt.mapInArrow(first_of_each, _STAGED).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/parts")
 
-    schema = "hash binary, payload binary, doc_id long, rid long, seq int, n int, tail long, kind string"
-    refs = spark.read.schema(schema).parquet(f"{path}/parts").filter("kind = 'ref'")
+    store = TokenStore(spark, path)
+    refs = store.references()
     chunks = F.transform(F.sort_array(F.collect_list(F.struct("seq", "hash", "n", "tail"))), lambda c: F.struct(c["hash"].alias("hash"), c["n"].alias("n"), c["tail"].alias("tail")))
     recipes = refs.groupBy("doc_id", "rid").agg(F.sum("n").cast("long").alias("n_tokens"), chunks.alias("chunks"))
     ordered = recipes.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("rid")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("rid")).withColumn("part", F.spark_partition_id())
@@ -315,9 +323,7 @@ def write_store(docs: DataFrame, path: str | None = None, tokenizer: str | None
             leaves = [_leaf(d, c) for d, c in zip(b.column("doc_id").to_pylist(), b.column("chunks").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(starts, pa.int64()), pa.array(leaves, pa.binary())], names=[*b.schema.names, "local_start", "leaf"])
 
-    kinds = "doc_id long, rid long, n_tokens long, chunks array<struct<hash: binary, n: int, tail: long>>, part int, local_start long, leaf binary"
-    ordered.mapInArrow(number, kinds).write.option("compression", "zstd").parquet(f"{path}/recipes")
-    store = TokenStore(spark, path)
+    ordered.mapInArrow(number, _RECIPES).write.option("compression", "zstd").parquet(f"{path}/recipes")
     _roots(store).write.parquet(f"{path}/manifest")
     return store
 
