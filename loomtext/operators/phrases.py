@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions import analysis
-from loomtext.sources.storage import materialise
+from loomtext.sources.storage import with_workers
 
 
 def word_runs(df: DataFrame, text: str, key: str, words: list[str] | None = None) -> DataFrame:
@@ -17,32 +21,46 @@ def word_runs(df: DataFrame, text: str, key: str, words: list[str] | None = None
     return rows.filter("type = 'word'").select(key, "pos", "word")
 
 
+def repeated_phrases(tokens: list[analysis.Token], most_words: int) -> list[tuple[str, int, int, bool]]:
+    """(phrase, words, n, redundant) of one text's tokens; phrases grow by a word a round, and only at places whose phrase repeats."""
+    shown = [t for t in tokens if t.type != "space"]
+    image = [t.image if t.type == "word" else None for t in shown]
+    now = {i: w for i, w in enumerate(image) if w is not None}
+    found: list[tuple[str, int, int]] = []
+    for n in range(2, most_words + 1):
+        grown = {i: f"{p} {w}" for i, p in now.items() if i + n <= len(image) and (w := image[i + n - 1]) is not None and w != image[i]}
+        counts = Counter(grown.values())
+        now = {i: p for i, p in grown.items() if counts[p] > 1}
+        if not now:
+            break
+        found += [(p, n, c) for p, c in counts.items() if c > 1]
+    found.sort(key=lambda f: (f[0].lower(), f[0]))
+    return [(p, n, c, k + 1 < len(found) and found[k + 1][0].startswith(p + " ") and found[k + 1][2] == c) for k, (p, n, c) in enumerate(found)]
+
+
 def text_phrases(df: DataFrame, text: str, key: str = "doc_id", most_words: int = 8, stop_words: list[str] | None = None, drop_redundant: bool = False) -> DataFrame:
     """(key, phrase, words, n, redundant): n-grams of two words or more that a text has at least twice.
 
     A phrase doesn't hold its first word again. redundant: the next phrase in order begins with it and occurs as often.
-    Phrases grow by one word a round from those that were found, up to most_words; each round keeps only places whose phrase repeats.
+    Repetition is a matter of one text, so texts are counted where they lie: an exchange of all n-grams, which built-in
+    functions would need for each length, is spared.
     """
-    words = materialise(word_runs(df, text, key, stop_words), "words")
-    now = words.select(key, "pos", F.col("word").alias("first"), F.col("word").alias("phrase"), F.lit(1).alias("words"))
-    found = None
-    for n in range(2, most_words + 1):
-        nxt = words.select(key, (F.col("pos") - (n - 1)).alias("pos"), F.col("word").alias("next"))
-        grown = now.join(nxt, [key, "pos"]).filter(F.col("next") != F.col("first"))
-        grown = grown.select(key, "pos", "first", F.concat_ws(" ", "phrase", "next").alias("phrase"), F.lit(n).alias("words"))
-        counted = grown.withColumn("n", F.count("*").over(Window.partitionBy(key, "phrase"))).filter("n > 1")
-        now = materialise(counted, f"phrases{n}")
-        if now.isEmpty():
-            break
-        part = now.groupBy(key, "phrase", "words").agg(F.count("*").alias("n"))
-        found = part if found is None else found.unionByName(part)
-        now = now.drop("n")
-    if found is None:
-        kind = df.schema[key].dataType.simpleString()
-        return df.sparkSession.createDataFrame([], f"{key} {kind}, phrase string, words int, n long, redundant boolean")
-    order = Window.partitionBy(key).orderBy(F.lower("phrase"), "phrase")
-    longer = F.lead("phrase").over(order).startswith(F.concat("phrase", F.lit(" "))) & (F.lead("n").over(order) == F.col("n"))
-    out = found.withColumn("redundant", F.coalesce(longer, F.lit(False)))
+    with_workers(df.sparkSession)
+    twin = analysis.text(stop_words).twin
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, out = [], []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows = repeated_phrases(twin(t), most_words) if t else []
+                keys += [k] * len(rows)
+                out += rows
+            columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
+            types = [pa.string(), pa.int32(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=[key, "phrase", "words", "n", "redundant"])
+
+    kind = df.schema[key].dataType.simpleString()
+    out = df.select(key, text).mapInArrow(run, f"{key} {kind}, phrase string, words int, n long, redundant boolean")
     return out.filter("NOT redundant") if drop_redundant else out
 
 

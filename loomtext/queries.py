@@ -494,12 +494,23 @@ def precis_first_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.trim(got, F.lit(" \n")).alias("precis"))
 
 
-@query("phrases_repeated")
-def phrases_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phrases.text_phrases(table(spark, sf_dir, "documents"), "text").select("doc_id", "phrase", "n", "redundant")
+_WORDS = r"regexp_extract_all(text, '[a-zA-Z0-9]+|[^\p{L}\p{M}\p{Nd}\p{Pc}]')"
 
 
-_WORDS = r"regexp_extract_all(text, '[a-zA-Z0-9]+|[^\p{L}\p{M}\p{Nd}\p{Pc}]')"
+def _phrases_sql(most: int = 8) -> str:
+    grams = f"""toks AS (SELECT doc_id, unnest(l) AS w, unnest(range(len(l))) AS pos FROM (SELECT doc_id, list_filter({_WORDS}, lambda x: x <> ' ') AS l FROM documents)),
+w AS (SELECT doc_id, pos, w FROM toks WHERE regexp_matches(w, '^[a-zA-Z]+$') AND lower(w) NOT IN ({_STOPS})),
+g1 AS (SELECT doc_id, pos, w AS first, w AS phrase FROM w)"""
+    for n in range(2, most + 1):
+        grams += f",\ng{n} AS (SELECT g.doc_id, g.pos, g.first, g.phrase || ' ' || w.w AS phrase FROM g{n - 1} g JOIN w ON w.doc_id = g.doc_id AND w.pos = g.pos + {n - 1} WHERE w.w <> g.first)"
+    found = " UNION ALL ".join(f"SELECT doc_id, phrase, count(*) AS n FROM g{n} GROUP BY ALL HAVING count(*) > 1" for n in range(2, most + 1))
+    lead = "OVER (PARTITION BY doc_id ORDER BY lower(phrase), phrase)"
+    return f"WITH {grams}, f AS ({found}) SELECT doc_id, phrase, n, coalesce(starts_with(lead(phrase) {lead}, phrase || ' ') AND lead(n) {lead} = n, false) AS redundant FROM f"
+
+
+@query("phrases_repeated", _phrases_sql())
+def phrases_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.text_phrases(table(spark, sf_dir, "documents"), "text").select("doc_id", "phrase", "n", "redundant")
 
 
 @query("token_frequencies", f"SELECT doc_id, lower(w) AS word, count(*) AS n FROM (SELECT doc_id, unnest({_WORDS}) AS w FROM documents) WHERE regexp_matches(w, '^[a-zA-Z]+$') AND lower(w) NOT IN ({_STOPS}) GROUP BY ALL")
@@ -507,7 +518,17 @@ def token_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.token_frequencies(table(spark, sf_dir, "documents"), "text")
 
 
-@query("word_abstract")
+_ABSTRACT = f"""WITH toks AS (SELECT doc_id, unnest(l) AS w, unnest(range(len(l))) AS pos FROM (SELECT doc_id, {_WORDS} AS l FROM documents)),
+s AS (SELECT doc_id, w, sum(CASE WHEN w IN ('.', '?', '!', ';') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS sentence FROM toks),
+w AS (SELECT doc_id, sentence, lower(w) AS word FROM s WHERE regexp_matches(w, '^[a-zA-Z]+$') AND lower(w) NOT IN ({_STOPS}) AND length(w) > 1),
+c AS (SELECT w.doc_id, w.word, count(*) AS frequency, count(m.sentence) AS overlap FROM w LEFT JOIN (SELECT DISTINCT doc_id, sentence FROM w WHERE word = 'erin') m ON m.doc_id = w.doc_id AND m.sentence = w.sentence GROUP BY ALL),
+r AS (SELECT *, word = 'erin' AS core, count(*) OVER (PARTITION BY doc_id) AS total, row_number() OVER (PARTITION BY doc_id ORDER BY (word = 'erin') DESC, overlap DESC, word) AS place FROM c),
+l AS (SELECT *, max(CASE WHEN place = 9 THEN overlap END) OVER (PARTITION BY doc_id) AS bound FROM r)
+SELECT doc_id, word, frequency, overlap, round(CASE WHEN core THEN 1 ELSE overlap / CAST(frequency AS DOUBLE) END, 6) AS saturation, core FROM l
+WHERE (total <= 12 AND (core OR overlap > 0)) OR (total > 12 AND place <= 12 AND (core OR overlap >= bound))"""
+
+
+@query("word_abstract", _ABSTRACT)
 def word_abstract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abstracts.abstract(table(spark, sf_dir, "documents"), "text", "erin").withColumn("saturation", F.round("saturation", 6))
 
