@@ -64,9 +64,9 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def words_column(text: Column) -> Column:
-    """Array of the words of a text (null: none)."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+def row_key(doc_id: Column, th: Column) -> Column:
+    """One string for doc_id (null as well) and the hash of the text."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("long").cast("string"), F.lit("null")), th.cast("string"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

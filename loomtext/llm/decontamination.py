@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.llm.alignment import MATCH, best_local
-from loomtext.llm.common import materialise, pick, session
+from loomtext.llm.common import materialise, pick, row_key, session
 
 #: Words of a seed; of each STRIDE neighbouring n-grams of an item, the rarest in the corpus is a seed.
 NGRAM, STRIDE = 3, 3
@@ -183,5 +183,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that copy no item."""
-    bad = contaminated(docs, benchmark, threshold).select(F.xxhash64("doc_id", "th").alias("_h")).distinct()
-    return docs.withColumn("_h", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text"))).join(bad, "_h", "left_anti").drop("_h")
+    bad = contaminated(docs, benchmark, threshold).select(row_key(F.col("doc_id"), F.col("th")).alias("_key")).distinct()
+    return docs.withColumn("_key", row_key(F.col("doc_id"), F.xxhash64("text"))).join(bad, "_key", "left_anti").drop("_key")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import WORD, materialise, pick, session
+from loomtext.llm.common import WORD, materialise, pick, row_key, session
 
 #: Documents of one leaf, and residuals that meet in one node above the leaves.
 FAN_IN = 4096
@@ -134,8 +134,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
 
 def take_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 7) -> DataFrame:
     """The documents of the mix: a row is repeated as often as it is taken. Rows with equal doc_id and text are one document here."""
-    key = lambda d, t: F.concat_ws(":", F.coalesce(d.cast("string"), F.lit("null")), t.cast("string"))
-    taken = mix(docs, weights, most, seed).groupBy(key(F.col("doc_id"), F.col("th")).alias("_key")).agg(F.sum("copies").alias("_copies")).filter("_copies > 0")
-    keyed = docs.withColumn("_key", key(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    taken = mix(docs, weights, most, seed).groupBy(row_key(F.col("doc_id"), F.col("th")).alias("_key")).agg(F.sum("copies").alias("_copies")).filter("_copies > 0")
+    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.xxhash64("text")))
     one = keyed.join(taken, "_key").dropDuplicates(["_key"])
     return one.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_key", "_copies", "_i")

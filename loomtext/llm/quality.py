@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import materialise, pick, session
+from loomtext.llm.common import materialise, pick, row_key, session
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marked", "n_distinct", "n_lines")
-SCHEMA = "doc_id long, " + ", ".join(f"{f} long" for f in FEATURES)
+SCHEMA = "doc_id long, th long, " + ", ".join(f"{f} long" for f in FEATURES)
 
 #: Rules: name, ratio, good if at most, bad if over (between the two the rule abstains; documents under MIN_WORDS words: all abstain).
 RULES: tuple[tuple[str, str, float, float], ...] = (
@@ -63,15 +63,15 @@ def features(text: str | None, window: int = WINDOW) -> tuple[int, ...]:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """(doc_id, FEATURES) for every row, over whole texts."""
+    """(doc_id, th, FEATURES) for every row, over whole texts; th is a hash of the text."""
     session(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = np.array([features(t) for t in b.column("text").to_pylist()], np.int64).reshape(b.num_rows, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(rows[:, i]) for i in range(len(FEATURES)))], names=["doc_id", *FEATURES])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), *(pa.array(rows[:, i]) for i in range(len(FEATURES)))], names=["doc_id", "th", *FEATURES])
 
-    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th")).mapInArrow(run, SCHEMA)
 
 
 def base_failed() -> Column:
@@ -120,7 +120,7 @@ def expectation_maximisation(patterns: dict[str, int], rounds: int = 200, least_
 
 
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, FEATURES, votes, quality, base_failed, kept) for every row.
+    """(doc_id, th, FEATURES, votes, quality, base_failed, kept) for every row.
 
     kept is false where the base rules fail, else whether the posterior probability of quality is at least `threshold`.
     Votes are counted over all documents by pattern (a table of at most 3 ** rules rows, whatever the corpus), the model is
@@ -138,6 +138,5 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that are kept. Equal texts get equal verdicts, so a document is found again by doc_id and text hash."""
-    verdicts = judge(docs.withColumn("doc_id", F.xxhash64("doc_id", "text")), threshold)
-    bad = verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias("_h")).distinct()
-    return docs.withColumn("_h", F.xxhash64("doc_id", "text")).join(bad, "_h", "left_anti").drop("_h")
+    bad = judge(docs, threshold).filter(~F.col("kept")).select(row_key(F.col("doc_id"), F.col("th")).alias("_key")).distinct()
+    return docs.withColumn("_key", row_key(F.col("doc_id"), F.xxhash64("text"))).join(bad, "_key", "left_anti").drop("_key")

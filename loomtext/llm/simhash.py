@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import connected_components, materialise, pick, session
+from loomtext.llm.common import connected_components, materialise, pick, row_key, session
 
 BITS, BYTES = 64, 8
 #: Buckets over this size are dealt anew by one more byte.
@@ -170,7 +170,6 @@ def near_duplicates(docs: DataFrame, max_bits: int = 3, shingle: int = 3, seed:
 def keep_representatives(docs: DataFrame, max_bits: int = 3) -> DataFrame:
     """The documents without near-duplicates: of each component the row with the smallest doc_id stays, of rows that repeat it with the same text one."""
     _, of = _components(docs, max_bits, 3, 42)
-    key = lambda d, t: F.concat_ws(":", F.coalesce(d.cast("string"), F.lit("null")), t.cast("string"))
-    keep = of.select("first").distinct().select(key(F.col("first.doc_id"), F.col("first.th")).alias("_key"))
-    keyed = docs.withColumn("_key", key(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    keep = of.select("first").distinct().select(row_key(F.col("first.doc_id"), F.col("first.th")).alias("_key"))
+    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.xxhash64("text")))
     return keyed.join(keep, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
