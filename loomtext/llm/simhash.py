@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -84,23 +85,10 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def bucket_edges(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """Edges that join exactly what all pairs within max_bits would join, from the fingerprints of one bucket.
-
-    Pairs are taken in blocks against all; those that share too few positional bytes are passed over before
-    bits are counted, and of the rest only edges that still join two sets are kept (below one an element).
-    """
-    fps = np.unique(fps)
-    n, parent = len(fps), list(range(len(fps)))
+def _pairs_in_blocks(fps: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs within max_bits: blocks against all, those that share too few positional bytes passed over before bits are counted."""
+    n, least = len(fps), BYTES - max_bits
     octets = fps.view(np.uint8).reshape(n, BYTES)
-    least, edges = BYTES - max_bits, []
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
     step = max(1, 2_000_000 // max(n, 1))
     for s in range(0, n, step):
         shared = np.zeros((min(step, n - s), n - s), np.uint8)
@@ -108,12 +96,46 @@ def bucket_edges(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
             shared += octets[s : s + step, k, None] == octets[None, s:, k]
         a, b = np.nonzero(shared >= least)
         near = (b > a) & (_popcount(fps[s + a] ^ fps[s + b]) <= max_bits)
-        for i, j in zip((s + a[near]).tolist(), (s + b[near]).tolist(), strict=True):
-            x, y = find(i), find(j)
+        yield s + a[near], s + b[near]
+
+
+def _pairs_by_flips(fps: np.ndarray, flips: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs, found by looking up each fingerprint with each set of bits flipped: time in proportion to the list."""
+    for mask in flips:
+        other = fps ^ np.uint64(mask)
+        at = np.minimum(np.searchsorted(fps, other), len(fps) - 1)
+        a = np.flatnonzero((fps[at] == other) & (other > fps))
+        yield a, at[a]
+
+
+def bucket_edges(fps: np.ndarray, max_bits: int, flips_from: int = 4) -> list[tuple[int, int]]:
+    """Edges that join exactly what all pairs within max_bits would join, from the fingerprints of one list; below one an element.
+
+    A list that has over flips_from times as many fingerprints as there are sets of bits to flip, among those that differ in it, is
+    searched by flips; others in blocks against all.
+    """
+    fps = np.unique(fps)
+    n = len(fps)
+    differing = int(np.bitwise_or.reduce(fps ^ fps[0])) if n else 0
+    bits = [1 << i for i in range(64) if differing >> i & 1]
+    number = sum(math.comb(len(bits), k) for k in range(1, max_bits + 1))
+    found = _pairs_by_flips(fps, [sum(c) for k in range(1, max_bits + 1) for c in combinations(bits, k)]) if n > flips_from * number else _pairs_in_blocks(fps, max_bits)
+    parent, edges = np.arange(n), []
+    for a, b in found:
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        apart = parent[a] != parent[b]
+        for i, j in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
+            x, y = i, j
+            while parent[x] != x:
+                x = parent[x]
+            while parent[y] != y:
+                y = parent[y]
             if x != y:
                 parent[max(x, y)] = min(x, y)
                 edges.append((i, j))
-    return [(int(x), int(y)) for x, y in zip(fps[[i for i, _ in edges]].view(np.int64), fps[[j for _, j in edges]].view(np.int64), strict=True)] if edges else []
+    signed = fps.view(np.int64)
+    return [(int(signed[i]), int(signed[j])) for i, j in edges]
 
 
 def links(unique: DataFrame, max_bits: int = 3) -> DataFrame:

@@ -75,6 +75,15 @@ def test_bucket_edges_join_what_all_pairs_join():
     plain = [(int(a), int(b)) for i, a in enumerate(fps.view(np.int64)) for b in fps.view(np.int64)[i + 1 :] if int(np.bitwise_count(np.uint64(a.view(np.uint64) ^ b.view(np.uint64)))) <= 3]
     edges = simhash.bucket_edges(fps, 3)
     assert classes(edges) == classes(plain) and len(edges) < len(fps)
+    assert classes(simhash.bucket_edges(fps, 3, 0)) == classes(plain)
+
+
+def test_long_lists_are_searched_by_flips():
+    rng = np.random.default_rng(3)
+    fps = np.unique(rng.integers(0, 1 << 11, 1100, dtype=np.uint64) << np.uint64(20))
+    by_flips, by_blocks = simhash.bucket_edges(fps, 3, 0), simhash.bucket_edges(fps, 3, 10**9)
+    assert len(by_flips) == len(by_blocks) == len(fps) - 1
+    assert simhash.bucket_edges(np.empty(0, np.uint64), 3) == []
 
 
 @settings(max_examples=60, deadline=None)
