@@ -149,3 +149,48 @@ def set_norm(index: Index, doc_id: int, field: str, value: float | int) -> DataF
     byte = value if isinstance(value, int) else encode_norm(value)
     mine = (F.col("doc_id") == doc_id) & (F.col("field") == field)
     return index.norms().drop("norm").withColumn("norm_byte", F.when(mine, F.lit(byte)).otherwise(F.col("norm_byte")))
+
+
+def apply_changes(index: Index, changes: DataFrame) -> Index:
+    """A change feed: rows with `op` 'upsert' or 'delete' and the document's columns; the last of a key (by doc_id) counts."""
+    last = _last_of_each(index, changes)
+    key = index.schema.key
+    gone = last.select(F.lower(F.col(key).cast("string")).alias("_k"))
+    kept = index.stored().withColumn("_k", F.lower(F.col(key).cast("string"))).join(gone, "_k", "left_anti").drop("_k")
+    return _rebuilt(index, kept.unionByName(last.filter("op = 'upsert'").drop("op"), allowMissingColumns=True))
+
+
+def choose_merge(sizes: list[int], factor: int = 10, least: int = 10, most: int = 2**31 - 1) -> list[int] | None:
+    """Which segments a logarithmic policy merges next: the last ones below a level, once they are enough to fill it; None if none.
+
+    Levels are least, least * factor and so on up to most; sizes are documents a segment, oldest first.
+    """
+    level = least
+    while level <= most:
+        first = len(sizes)
+        while first > 0 and sizes[first - 1] < level:
+            first -= 1
+        if len(sizes) - first > 1 and sum(sizes[first:]) >= level:
+            return list(range(first, len(sizes)))
+        level *= factor
+    return None
+
+
+class Registry:
+    """Snapshots by name; what is looked up later is the newest that was put."""
+
+    def __init__(self) -> None:
+        self._by_name: dict[str, Index] = {}
+
+    def put(self, name: str, index: Index) -> Index:
+        self._by_name[name] = index
+        return index
+
+    def get(self, name: str) -> Index | None:
+        return self._by_name.get(name)
+
+    def is_latest(self, name: str, index: Index) -> bool:
+        return self._by_name.get(name) is index
+
+    def names(self) -> list[str]:
+        return sorted(self._by_name)
