@@ -275,7 +275,23 @@ def q_phrase_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(spark, sf_dir, Phrase.of("text", ["the", ".", "of"]))
 
 
-@query("q_phrase_sloppy")
+def _sloppy_sql(first: str, second: str, slop: int) -> str:
+    """For two terms the greedy windows are the changes from one term to the other in the order of shifted places.
+
+    Where both stand at one place, the term that stood before goes first, so the order turns with each such place in a row.
+    """
+    total = f"({idf_sql(first)} + {idf_sql(second)})"
+    return f"""WITH {POSTINGS}, m AS (SELECT doc_id, CASE WHEN term = '{first}' THEN pos ELSE pos - 1 END AS place, CASE WHEN term = '{first}' THEN 0 ELSE 1 END AS i FROM tok WHERE term IN ('{first}', '{second}')),
+k AS (SELECT doc_id, place, CASE WHEN count(*) = 2 THEN 2 ELSE min(i) END AS kind FROM m GROUP BY doc_id, place),
+r AS (SELECT *, sum(CASE WHEN kind < 2 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY place) AS run FROM k),
+t AS (SELECT doc_id, place, kind, (coalesce(max(CASE WHEN kind < 2 THEN kind END) OVER (PARTITION BY doc_id, run), 0)
+  + sum(CASE WHEN kind = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, run ORDER BY place) - 1) % 2 AS leads FROM r),
+g AS (SELECT m.doc_id, place - lag(place) OVER o AS d, i <> lag(i) OVER o AS change FROM m JOIN t USING (doc_id, place) WINDOW o AS (PARTITION BY m.doc_id ORDER BY place, CASE WHEN kind = 2 AND i <> leads THEN 1 ELSE 0 END)),
+f AS (SELECT doc_id, sum(1 / CAST(1 + d AS DOUBLE)) AS freq FROM g WHERE change AND d <= {slop} GROUP BY doc_id)
+SELECT doc_id, round(sqrt(freq) * {total} * {total} * {q_sql(total)} * norm, 6) AS score FROM f JOIN norm USING (doc_id)"""
+
+
+@query("q_phrase_sloppy", _sloppy_sql("the", "of", 3))
 def q_phrase_sloppy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(spark, sf_dir, Phrase.of("text", ["the", "of"], slop=3))
 
