@@ -21,7 +21,7 @@ from loomtext.llm.common import fresh_path, pick, session
 WIDTH, CUT_BITS, LEAST, MOST = 16, 9, 64, 4096
 END_ID = 0
 #: Distinct pieces a worker remembers: the first it meets, so the frequent ones; others are encoded anew (results don't depend on it).
-CACHE = 500_000
+CACHE = 600_000
 
 #: White space next to white space or at an end, as RE2 pattern: every character that Unicode or Python counts as such.
 _SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -60,75 +60,83 @@ class Encoder:
         space, line = (self.tokenizer.encode(c, add_special_tokens=False).tokens[0] for c in (" ", "\n"))
         self.begins = np.zeros(1 << 16, bool)
         self.begins[[i for token, i in vocabulary.items() if token.startswith((space, line))]] = True
+        self.known: dict[str, bytes] = {}
         self.line_ids = len(self.plain("\n"))
-        self.known: dict[str, np.ndarray] = {}
-        self.marks: dict[str, np.ndarray] = {}
 
     def plain(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2")
 
-    def _new(self, pieces: list[str]) -> list[np.ndarray]:
+    def _new(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces without white space but for a leading line break; the others are led by a space."""
-        out: list[np.ndarray] = []
+        out: list[bytes] = []
         for lo in range(0, len(pieces), 200):
             part = pieces[lo : lo + 200]
             ids = self.plain("x" + "".join([p if p[0] == "\n" else " " + p for p in part]))
             at = np.flatnonzero(self.begins[ids])
             if len(at) == len(part):
-                cuts = [*at.tolist(), len(ids)]
-                out += [ids[a:b].copy() for a, b in zip(cuts, cuts[1:], strict=False)]
+                data, cuts = ids.tobytes(), [*(2 * at).tolist(), 2 * len(ids)]
+                out += [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
             else:
-                out += [self.plain(p if p[0] == "\n" else " " + p) for p in part]
+                out += [self.plain(p if p[0] == "\n" else " " + p).tobytes() for p in part]
         return out
 
-    def _pieces(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of distinct pieces, from what is remembered and else from the library."""
-        halves = []
-        for p in pieces:
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces, from what is remembered and else from the library: a word and the marks after it apart."""
+        known = self.known
+        out = list(map(known.get, pieces))
+        missing = [i for i, x in enumerate(out) if x is None]
+        bases, new = [], {}
+        for i in missing:
+            p = pieces[i]
             base = p.rstrip(_MARKS)
-            halves.append((base, p[len(base) :]) if base and base[-1].isalnum() else (p, ""))
-        new = {b: None for b, _ in halves if b not in self.known}
-        own = dict(zip(new, self._new(list(new)), strict=True))
-        if len(self.known) < CACHE:
-            self.known.update(own)
-        out = []
-        for base, marks in halves:
-            ids = own[base] if base in own else self.known[base]
-            if marks:
-                if marks not in self.marks:
-                    if len(self.marks) > CACHE:
-                        self.marks.clear()
-                    self.marks[marks] = self.plain(marks)
-                ids = np.concatenate((ids, self.marks[marks]))
-            out.append(ids)
+            if not base or not base[-1].isalnum():
+                base = p
+            bases.append(base)
+            if base not in known:
+                new[base] = None
+        new = dict(zip(new, self._new(list(new)), strict=True))
+        room, marks = CACHE - len(known), {}
+        for i, base in zip(missing, bases, strict=True):
+            p = pieces[i]
+            ids = new[base] if base in new else known[base]
+            if base != p:
+                end = p[len(base) :]
+                if end not in marks:
+                    marks[end] = self.plain(end).tobytes()
+                ids += marks[end]
+            out[i] = ids
+        if room > 0:
+            known.update(new)
+            known.update((pieces[i], out[i]) for i in missing[:room])
         return out
 
     def encode(self, texts: pa.StringArray) -> list[np.ndarray]:
         """The ids of each text (no nulls)."""
-        size = pc.binary_length(texts)
-        odd = pc.or_(pc.match_substring_regex(texts, _ODD), pc.equal(size, 0))
-        even = texts.filter(pc.invert(odd))
+        odd = pc.or_(pc.match_substring_regex(texts, _ODD), pc.equal(pc.binary_length(texts), 0)).to_numpy(zero_copy_only=False)
         out: list[np.ndarray | None] = [None] * len(texts)
-        at = np.flatnonzero(~odd.to_numpy(zero_copy_only=False))
+        at = np.flatnonzero(~odd)
         if len(at):
-            cut = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("\n", even, ""), "\n", " \n"), " ")
+            # each text gets a line break put in front, and so begins with an empty piece before it
+            even = pc.binary_join_element_wise("\n", texts.filter(pa.array(~odd)), "")
+            cut = pc.split_pattern(pc.replace_substring(even, "\n", " \n"), " ")
             coded = cut.flatten().dictionary_encode()
             codes, bounds = coded.indices.to_numpy(), cut.offsets.to_numpy() - cut.offsets[0].as_py()
-            # each text begins with an empty piece, before the line break put in front
-            values = coded.dictionary.to_pylist()
-            none = values.index("") if "" in values else -1
-            ids = self._pieces([v or "\n" for v in values])
-            if none >= 0:
-                ids[none] = np.empty(0, "<u2")
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            pool, first = np.concatenate(ids), np.cumsum(lengths) - lengths
+            values = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            none = values.index("")
+            values[none] = "\n"
+            ids = self._pieces(values)
+            ids[none] = b""
+            lengths = np.fromiter(map(len, ids), np.int32, len(ids)) >> 1
+            pool, first = np.frombuffer(b"".join(ids), "<u2"), (np.cumsum(lengths) - lengths).astype(np.int32)
             n = lengths[codes]
             ends = np.cumsum(n)
-            whole = pool[np.repeat(first[codes] - (ends - n), n) + np.arange(int(ends[-1]))]
+            places = np.repeat((first[codes] - (ends - n)).astype(np.int32), n)
+            places += np.arange(len(places), dtype=np.int32)
+            whole = pool[places]
             ends = np.concatenate(([0], ends))[bounds]
             for i, a, b in zip(at.tolist(), (ends[:-1] + self.line_ids).tolist(), ends[1:].tolist(), strict=True):
                 out[i] = whole[a:b]
-        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+        for i in np.flatnonzero(odd).tolist():
             text = texts[i].as_py()
             first_piece, *rest = _SINGLE.split(text) if text else [""]
             out[i] = np.concatenate([self.plain(first_piece), *[self.plain(" " + x) for x in rest]])
@@ -269,8 +277,8 @@ def write_store(docs: DataFrame, path: str | None = None, tokenizer: str | None
         encoder, sent = _WORKER["encoder"], set()
         end = np.asarray([END_ID], "<u2")
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
+            for lo in range(0, b.num_rows, 2048):
+                part = b.slice(lo, 2048)
                 each = encoder.encode(part.column("text"))
                 joined = np.concatenate([x for ids in each for x in (ids, end)])
                 bounds = np.cumsum(np.fromiter(map(len, each), np.int64, len(each)) + 1)
