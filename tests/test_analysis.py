@@ -4,25 +4,25 @@ from pyspark.sql import functions as F
 from loomtext.functions import analysis as A
 from loomtext.functions.stemmer import stem, stem_terms
 
-ADDRESS = "JJWiseman@yahoo.com is My e-mail 523@#$ address. 23#@$"
+ADDRESS = "KRBaker@mail.com is My e-mail 523@#$ address. 23#@$"
 MIXED = "D.Ba_l-n@gma-l.com AB&Sons Toys'r'us you're she's, #$%^$%*& job@dot I.B.M. the an AnD THEIR"
 
 
 def test_letter_lowercase_whitespace():
-    assert A.letter.terms(ADDRESS) == ["JJWiseman", "yahoo", "com", "is", "My", "e", "mail", "address"]
-    assert A.lowercase.terms(ADDRESS) == ["jjwiseman", "yahoo", "com", "is", "my", "e", "mail", "address"]
-    assert A.whitespace.terms(ADDRESS) == ["JJWiseman@yahoo.com", "is", "My", "e-mail", "523@#$", "address.", "23#@$"]
+    assert A.letter.terms(ADDRESS) == ["KRBaker", "mail", "com", "is", "My", "e", "mail", "address"]
+    assert A.lowercase.terms(ADDRESS) == ["krbaker", "mail", "com", "is", "my", "e", "mail", "address"]
+    assert A.whitespace.terms(ADDRESS) == ["KRBaker@mail.com", "is", "My", "e-mail", "523@#$", "address.", "23#@$"]
 
 
 def test_standard():
-    assert [t.image for t in A.scan(A.STANDARD, ADDRESS)] == ["JJWiseman@yahoo.com", "is", "My", "e", "mail", "523", "address", "23"]
+    assert [t.image for t in A.scan(A.STANDARD, ADDRESS)] == ["KRBaker@mail.com", "is", "My", "e", "mail", "523", "address", "23"]
     assert A.standard().terms(MIXED) == ["d.ba_l-n@gma-l.com", "ab&sons", "toys'r'us", "job@dot", "ibm"]
 
 
 def test_stop_offsets():
     got = [(t.image, t.start, t.end) for t in A.stop().twin("The Quick AND the DEAD the and to it there their")]
     assert got == [("quick", 4, 9), ("dead", 18, 22)]
-    assert [(t.image, t.start, t.end) for t in A.stop(["john"]).twin("john wiseman")] == [("wiseman", 5, 12)]
+    assert [(t.image, t.start, t.end) for t in A.stop(["john"]).twin("john baker")] == [("baker", 5, 10)]
 
 
 def test_query_and_text_types():
