@@ -129,8 +129,7 @@ word = _plain("word", WORD)
 
 def without(tokens: Column, words: list[str]) -> Column:
     """Tokens but for the listed words; those after move up."""
-    listed = F.array(*[F.lit(w) for w in words])
-    return F.filter(tokens, lambda x: ~F.array_contains(listed, x)) if words else tokens
+    return F.filter(tokens, lambda x: ~x.isin(*words)) if words else tokens
 
 
 def stop(words: list[str] | None = None) -> Analyzer:

@@ -23,8 +23,12 @@ def encode_norm(value: float) -> int:
 
 
 def encode_norm_column(value: Column) -> Column:
-    table = F.array(*[F.lit(v) for v in NORMS])
-    return F.least(F.size(F.filter(table, lambda v: v < value)), F.lit(255))
+    """The same by arithmetic: the power of two below the value (put right where the logarithm is rounded), and quarters of it, rounded up."""
+    guess = F.floor(F.log2(value))
+    power = lambda e: F.pow(F.lit(2.0), e)
+    exponent = F.when(power(guess) > value, guess - 1).when(power(guess + 1) <= value, guess + 1).otherwise(guess)
+    byte = 4 * (exponent + 31) + F.ceil((value / power(exponent) - 1) * 4)
+    return F.when(value > 0, F.greatest(F.lit(1), F.least(byte, F.lit(255))).cast("int")).otherwise(F.lit(0))
 
 
 def decode_norm_column(byte: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import analysis
 from loomtext.operators.highlight import sentences
+from loomtext.operators.phrases import is_word
 from loomtext.sources.storage import materialise
 
 #: Words of an abstract at most; the place whose overlap is the limit among more.
@@ -15,10 +16,12 @@ MOST, LIMIT_AT = 12, 9
 
 def sentence_words(df: DataFrame, text: str, key: str = "doc_id", stop_words: list[str] | None = None) -> DataFrame:
     """(key, sentence, word): words of more than one letter, lower-cased, with the number of their sentence; . ? ! ; end one."""
-    tokens = analysis.text(stop_words).typed(F.col(text))
-    rows = df.select(key, F.posexplode(tokens).alias("pos", "t")).select(key, "pos", F.col("t.image").alias("image"), F.coalesce("t.type", F.lit("")).alias("type"))
-    ends = F.sum(F.col("type").isin(*analysis.TERMINATORS).cast("int")).over(Window.partitionBy(key).orderBy("pos"))
-    return rows.withColumn("sentence", ends).filter("type = 'word' AND length(image) > 1").select(key, "sentence", F.lower("image").alias("word"))
+    ends = [c for c, kind in analysis.PUNCTUATION.items() if kind in analysis.TERMINATORS]
+    tokens = F.filter(analysis.extract(analysis.TEXT, F.col(text)), lambda x: x.isin(*ends) | x.rlike("^[a-zA-Z]{2,}$"))
+    rows = df.select(key, F.posexplode(tokens).alias("pos", "image"))
+    number = F.sum(F.col("image").isin(*ends).cast("int")).over(Window.partitionBy(key).orderBy("pos"))
+    words = analysis.stop_words() if stop_words is None else stop_words
+    return rows.withColumn("sentence", number).filter(is_word(F.col("image"), words)).select(key, "sentence", F.lower("image").alias("word"))
 
 
 def core_sentences(text: Column, core: str) -> Column:

@@ -2,29 +2,36 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions import analysis
 from loomtext.sources.storage import with_workers
 
+_TOKENS = re.compile(analysis.TEXT)
 
-def word_runs(df: DataFrame, text: str, key: str, words: list[str] | None = None) -> DataFrame:
-    """(key, pos, word, follows): word tokens in order; follows if the one before is a word too (spaces don't count, all else breaks)."""
-    analyzer = analysis.text(words)
-    tokens = F.filter(analyzer.typed(F.col(text)), lambda t: ~F.coalesce(t["type"], F.lit("")).isin("space"))
-    rows = df.select(key, F.posexplode(tokens).alias("pos", "t")).select(key, "pos", F.col("t.image").alias("word"), F.coalesce("t.type", F.lit("")).alias("type"))
-    return rows.filter("type = 'word'").select(key, "pos", "word")
 
+def is_word(image: Column, stop_words: list[str]) -> Column:
+    """Of the text analyzer's tokens: letters alone, and no stop word."""
+    letters = image.rlike("^[a-zA-Z]+$")
+    return letters & ~F.lower(image).isin(*stop_words) if stop_words else letters
 
-def repeated_phrases(tokens: list[analysis.Token], most_words: int) -> list[tuple[str, int, int, bool]]:
-    """(phrase, words, n, redundant) of one text's tokens; phrases grow by a word a round, and only at places whose phrase repeats."""
-    shown = [t for t in tokens if t.type != "space"]
-    image = [t.image if t.type == "word" else None for t in shown]
+
+def word_runs(df: DataFrame, text: str, key: str, stop_words: list[str] | None = None) -> DataFrame:
+    """(key, pos, word): word tokens with their place among all tokens but spaces."""
+    tokens = F.filter(analysis.extract(analysis.TEXT, F.col(text)), lambda x: x != " ")
+    rows = df.select(key, F.posexplode(tokens).alias("pos", "word"))
+    return rows.filter(is_word(F.col("word"), analysis.stop_words() if stop_words is None else stop_words))
+
+
+def repeated_phrases(text: str, most_words: int, stop: frozenset[str]) -> list[tuple[str, int, int, bool]]:
+    """(phrase, words, n, redundant) of one text; phrases grow by a word a round, and only at places whose phrase repeats."""
+    image = [x if x.isalpha() and x.lower() not in stop else None for x in _TOKENS.findall(text) if x != " "]
     now = {i: w for i, w in enumerate(image) if w is not None}
     found: list[tuple[str, int, int]] = []
     for n in range(2, most_words + 1):
@@ -46,13 +53,13 @@ def text_phrases(df: DataFrame, text: str, key: str = "doc_id", most_words: int
     functions would need for each length, is spared.
     """
     with_workers(df.sparkSession)
-    twin = analysis.text(stop_words).twin
+    stop = frozenset(analysis.stop_words() if stop_words is None else stop_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, out = [], []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = repeated_phrases(twin(t), most_words) if t else []
+                rows = repeated_phrases(t, most_words, stop) if t else []
                 keys += [k] * len(rows)
                 out += rows
             columns = list(zip(*out, strict=True)) if out else [[], [], [], []]

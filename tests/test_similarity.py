@@ -15,7 +15,7 @@ def test_lengths():
 
 
 def test_columns(spark):
-    values = [0.0, -1.0, 1e-9, 0.3, 1.0, 0.5773502691896258, 1e30]
+    values = [0.0, -1.0, 1e-30, 1e-9, 0.3, 1.0, 0.5773502691896258, 1e30, *NORMS, *[v * 1.0000001 for v in NORMS], *[v * 0.9999999 for v in NORMS], *[n**-0.5 for n in range(1, 500)]]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", encode_norm_column(F.col("v")).alias("b")).withColumn("d", decode_norm_column(F.col("b"))).collect()
     for r in rows:
         assert r["b"] == encode_norm(r["v"])
