@@ -125,22 +125,63 @@ _token_query("tok_letter", analysis.letter, _tokens_sql("[a-zA-Z]+"))
 _token_query("tok_lowercase", analysis.lowercase, _tokens_sql("[a-zA-Z]+", True))
 _token_query("tok_word", analysis.word, _tokens_sql(r"[a-zA-Z0-9.\-@]+"))
 _token_query("tok_whitespace", analysis.whitespace, _tokens_sql(r"[^\t\n\v\f\r \x1c-\x1f\x{85}\x{a0}]+"))
-_token_query("tok_standard", analysis.standard(), None)
+_UNICODE_WORD = r"[\p{L}\p{M}\p{Nd}\p{Pc}]"
+_STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH)
+_QUOTED = {c: "chr(10)" if c == "\n" else "'" + c.replace("'", "''") + "'" for c in analysis.PUNCTUATION}
+_TYPES = "CASE image " + " ".join(f"WHEN {_QUOTED[c]} THEN '{kind}'" for c, kind in analysis.PUNCTUATION.items()) + " END"
+
+
+def _re2(pattern: str) -> str:
+    """A tokenizer's pattern with Unicode classes spelled out, inside an SQL string."""
+    return pattern.replace(r"\w", _UNICODE_WORD).replace(r"\W", "[^" + _UNICODE_WORD[1:]).replace(r"\d", r"\p{Nd}").replace("'", "''")
+
+
+def _exploded(source: str, tokens: str) -> str:
+    return f"SELECT doc_id, CAST(position AS INTEGER) AS position, image FROM (SELECT doc_id, unnest(a) AS image, unnest(range(len(a))) AS position FROM (SELECT doc_id, {tokens} AS a FROM {source}))"
+
+
+def _found(pattern: str) -> str:
+    return f"regexp_extract_all(coalesce(text, ''), '{_re2(pattern)}')"
+
+
+_STANDARD = (
+    f"list_filter(list_transform(list_filter({_found(analysis.STANDARD)}, lambda x: x <> ''), lambda x: lower("
+    r"CASE WHEN regexp_matches(x, '^[a-zA-Z]\.([a-zA-Z]\.)+$') THEN replace(x, '.', '') "
+    "WHEN regexp_matches(x, '^[a-zA-Z]+''[a-zA-Z]$') THEN regexp_replace(x, '''[sS]', '', 'g') ELSE x END)), "
+    f"lambda x: x NOT IN ({_STOPS}))"
+)
+_token_query("tok_standard", analysis.standard(), _exploded("documents", _STANDARD))
 _token_query("tok_base", analysis.base, _tokens_sql(r"[\p{L}\p{M}\p{Nd}\p{Pc}]+"))
 
 
-@query("tok_text_typed")
+_TYPED = (
+    f"SELECT doc_id, position, image, CASE WHEN lower(image) IN ({_STOPS}) THEN 'stopword' "
+    r"WHEN regexp_matches(image, '^\p{L}+$') THEN 'word' WHEN regexp_matches(image, '^\p{Nd}+$') THEN 'number' "
+    f"ELSE {_TYPES} END AS type FROM ({_exploded('documents', _found(analysis.TEXT))})"
+)
+
+
+@query("tok_text_typed", _TYPED)
 def tok_text_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = analysis.text().typed(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(t).alias("position", "t")).select("doc_id", "position", "t.image", "t.type")
 
 
-@query("tok_query", None)
+_TURN_TOKENS = f"list_transform(list_filter({_found(analysis.TEXT)}, lambda x: x <> ' '), lambda x: lower(x))"
+
+
+@query("tok_query", _exploded("(SELECT conv_id AS doc_id, text FROM conversations)", _TURN_TOKENS))
 def tok_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.token_table(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "text"), "text", analysis.query())
 
 
-@query("tok_escape")
+_ESCAPED = (
+    f"SELECT doc_id, position, lower(image) AS image, CASE WHEN regexp_matches(image, '^{_re2(chr(92) + 'W')}$') THEN coalesce({_TYPES}, 'punctuation') "
+    f"ELSE 'word' END AS type FROM ({_exploded('documents', _found(analysis.ESCAPE))})"
+)
+
+
+@query("tok_escape", _ESCAPED)
 def tok_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = analysis.escape().typed(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(t).alias("position", "t")).select("doc_id", "position", "t.image", "t.type")
@@ -167,9 +208,6 @@ def stem_porter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("term", stem_terms(F.col("term")).alias("stem"))
 
 
-_STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH)
-
-
 @query("stop_filtered_positions", f"WITH {ARRAYS}, f AS (SELECT doc_id, list_filter(a, lambda x: NOT list_contains([{_STOPS}], x)) AS a FROM arr) SELECT doc_id, CAST(position AS INTEGER) AS position, image FROM (SELECT doc_id, unnest(a) AS image, unnest(range(len(a))) AS position FROM f)")
 def stop_filtered_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.token_table(table(spark, sf_dir, "documents"), "text", analysis.stop())
