@@ -57,13 +57,30 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: list[tuple[str, str]] = []
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write the frame to the shared folder and read it back: lineage ends there, and every executor can reread it."""
+    """Write the frame to the shared folder and read it back: lineage ends there, and every executor can reread it.
+
+    The files stay, as results that are yet to be computed read them; drop_intermediates() removes them once results are written.
+    """
     path = fresh_path(df.sparkSession, tag)
+    _WRITTEN.append((df.sparkSession.sparkContext.applicationId, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_intermediates(spark: SparkSession) -> int:
+    """Remove what materialise() has written in this application; returns how many tables that were."""
+    mine = [x for x in _WRITTEN if x[0] == spark.sparkContext.applicationId]
+    for entry in mine:
+        path = spark._jvm.org.apache.hadoop.fs.Path(entry[1])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _WRITTEN.remove(entry)
+    return len(mine)
+
+
 def row_key(doc_id: Column, th: Column) -> Column:
     """One string for doc_id (null as well) and the hash of the text."""
     return F.concat_ws(":", F.coalesce(doc_id.cast("long").cast("string"), F.lit("null")), th.cast("string"))

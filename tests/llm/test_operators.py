@@ -44,6 +44,16 @@ def test_components(spark):
     assert common.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_intermediates_can_be_dropped(spark):
+    common.drop_intermediates(spark)
+    df = common.materialise(spark.range(3), "x")
+    path = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    assert df.count() == 3 and common.drop_intermediates(spark) == 1 and common.drop_intermediates(spark) == 0
+    import os
+
+    assert not os.path.exists(path)
+
+
 def brute_components(rows):
     fps = [simhash.fingerprint(t) for _, t, *_ in rows]
     root = list(range(len(rows)))
