@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +28,6 @@ def sentence_words(df: DataFrame, text: str, key: str = "doc_id", stop_words: li
 
 def core_sentences(text: Column, core: str) -> Column:
     """The sentences (ended by . ? !) that have the core word."""
-    import re
-
     return F.filter(sentences(text), lambda s: s.rlike(rf"(?iU)\b{re.escape(core)}\b"))
 
 

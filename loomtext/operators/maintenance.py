@@ -8,10 +8,11 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.functions.similarity import encode_norm
 from loomtext.operators.index import Index
 from loomtext.operators.search import Searcher
 from loomtext.plans.query import Query
-from loomtext.sources.storage import materialise
+from loomtext.sources.storage import fresh_path, materialise
 
 
 def _key(index: Index, df: DataFrame) -> Column:
@@ -99,8 +100,6 @@ def merge(indexes: list[Index]) -> Index:
 
     Postings and norms are taken over as they are, without analysing any text again; the dictionary is counted anew.
     """
-    from loomtext.sources.storage import fresh_path
-
     first = indexes[0]
     path = fresh_path(first.spark, "index")
     shift, top, parts = [], -1, []
@@ -144,8 +143,6 @@ def persist(index: Index, path: str, append: bool = False) -> Index:
 
 def set_norm(index: Index, doc_id: int, field: str, value: float | int) -> DataFrame:
     """The norms table with one document's norm replaced: a float is encoded, an int is the byte itself."""
-    from loomtext.functions.similarity import encode_norm
-
     byte = value if isinstance(value, int) else encode_norm(value)
     mine = (F.col("doc_id") == doc_id) & (F.col("field") == field)
     return index.norms().drop("norm").withColumn("norm_byte", F.when(mine, F.lit(byte)).otherwise(F.col("norm_byte")))

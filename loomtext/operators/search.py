@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions.scalars import float_value, int_value
 from loomtext.operators.index import Index
 from loomtext.plans.parser import Parser, ParseResult, Sort, SortField
 from loomtext.plans.planner import Planner
-from loomtext.plans.query import Boolean, Clause, KeyTerm, Query, Term, Wildcard, extract_terms, rewrite
+from loomtext.plans.query import Boolean, Clause, KeyTerm, MatchAll, Query, Term, Wildcard, extract_terms, rewrite
 
 
 @dataclass(frozen=True)
@@ -48,8 +48,6 @@ class Searcher:
         page = found.orderBy(*order).limit(first + num)
         page = page.offset(first) if first else page
         # a page is a few rows: numbering it in one place costs nothing
-        from pyspark.sql import Window
-
         return page.select("doc_id", "score", (F.row_number().over(Window.orderBy(*order)) + first).alias("rank"))
 
     def _ordered(self, found: DataFrame, sort: Sort | None):
@@ -108,8 +106,6 @@ def field_query(field: str, value: str) -> Query:
 
 
 def wildcard_query(field: str, pattern: str) -> Query:
-    from loomtext.plans.query import MatchAll
-
     return MatchAll() if pattern == "*" else Wildcard(field, pattern)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.functions.scalars import file_suffix
+from loomtext.functions.scalars import absolute_path, file_suffix, strip_html
 
 
 def text_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
@@ -46,8 +46,6 @@ def books(files: DataFrame) -> DataFrame:
 
 def posts(df: DataFrame, key: str, text: str) -> DataFrame:
     """Each key once (the first text in order), tags stripped."""
-    from loomtext.functions.scalars import strip_html
-
     first = df.groupBy(key).agg(F.min(text).alias(text))
     return first.withColumn(text, strip_html(F.col(text)))
 
@@ -59,8 +57,6 @@ def not_loaded(new: DataFrame, loaded: DataFrame, key: str) -> DataFrame:
 
 def external_field(df: DataFrame, files: DataFrame, field: str, path_column: str, root: str) -> DataFrame:
     """df with the field filled from files named by a column, where it is missing."""
-    from loomtext.functions.scalars import absolute_path
-
     at = absolute_path(F.col(path_column), F.lit(root))
     tail = files.select(F.regexp_replace("path", r"^[a-z]+:/+", "/").alias("_p"), F.col("text").alias("_t"))
     joined = df.withColumn("_at", at).join(tail, F.col("_at") == F.col("_p"), "left")

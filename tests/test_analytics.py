@@ -98,7 +98,7 @@ def test_files(spark, tmp_path):
     assert {r["suffix"]: r["n"] for r in files.by_suffix(files.encoded_files(spark, root, "*.txt")).collect()} == {"8": 1, "0": 1}
     df = spark.createDataFrame([(1, "b-0.txt")], "doc_id long, p string")
     assert files.external_field(df, files.text_files(spark, root, "*.txt"), "body", "p", root).first()["body"].startswith("Head")
-    assert [files_ for files_ in files.survey(files.encoded_files(spark, root)).first()][0] == 3
+    assert files.survey(files.encoded_files(spark, root)).first()["files"] == 3
     posts = spark.createDataFrame([(1, "<b>x</b>"), (1, "<b>y</b>"), (2, "z")], "id int, t string")
     assert sorted(map(tuple, files.posts(posts, "id", "t").collect())) == [(1, "x"), (2, "z")]
     assert [r["id"] for r in files.not_loaded(posts, spark.createDataFrame([(1,)], "id int"), "id").collect()] == [2]

@@ -41,7 +41,7 @@ def test_sizes_after_merges(spark):
 
 def test_registry(spark):
     r = M.Registry()
-    index = Index.build(spark.createDataFrame([(1, "a")], "doc_id long, content string").withColumn("id", __import__("pyspark").sql.functions.lit("x")), SCHEMA)
+    index = Index.build(spark.createDataFrame([(1, "x", "a")], "doc_id long, id string, content string"), SCHEMA)
     r.put("main", index)
     assert r.get("main") is index and r.is_latest("main", index) and r.names() == ["main"] and r.get("none") is None
     r.put("main", M.delete(index, 1))
