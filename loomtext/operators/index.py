@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,7 +89,10 @@ def _tokens(schema: Schema, f: FieldDef, docs: DataFrame) -> Column:
     return F.slice(out, 1, schema.max_field_length) if schema.max_field_length else out
 
 
+#: Schemas of the tables: given to the readers, so that opening one needs no job.
 POSTINGS = "field string, term string, doc_id long, tf long, positions array<int>"
+TERMS = "field string, term string, df long"
+NORMS = "field string, doc_id long, length long, boost double, norm_byte int"
 
 
 def invert(docs: DataFrame, schema: Schema) -> DataFrame:
@@ -137,7 +140,7 @@ class Index:
         stored = spark.read.parquet(f"{path}/stored")
         order = ("field", "term", "doc_id")
         invert(stored, schema).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/postings")
-        postings = spark.read.parquet(f"{path}/postings")
+        postings = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
         postings.groupBy("field", "term").agg(F.count("*").alias("df")).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/terms")
         norm_table(postings, stored, schema).write.mode("overwrite").parquet(f"{path}/norms")
         return cls(spark, path, schema, None, similarity or Similarity())
@@ -150,22 +153,35 @@ class Index:
         return df if self.tombstones is None else df.join(self.tombstones, "doc_id", "left_anti")
 
     def stored(self) -> DataFrame:
-        return self._live(self.spark.read.parquet(f"{self.path}/stored"))
+        return self._live(self._every)
+
+    @cached_property
+    def _every(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/stored")
+
+    @cached_property
+    def _count(self) -> int:
+        return self._every.count()
 
     def postings(self) -> DataFrame:
-        return self._live(self.spark.read.parquet(f"{self.path}/postings"))
+        return self._live(self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings"))
 
     def terms(self) -> DataFrame:
         """The dictionary; like max_doc it counts deleted documents until the index is compacted."""
-        return self.spark.read.parquet(f"{self.path}/terms")
+        return self.spark.read.schema(TERMS).parquet(f"{self.path}/terms")
 
     def norms(self) -> DataFrame:
         """(field, doc_id, norm): decoded."""
-        n = self._live(self.spark.read.parquet(f"{self.path}/norms"))
+        n = self._live(self.spark.read.schema(NORMS).parquet(f"{self.path}/norms"))
         return n.withColumn("norm", decode_norm_column(F.col("norm_byte")))
 
     def max_doc(self) -> int:
-        return self.spark.read.parquet(f"{self.path}/stored").count()
+        """All documents, deleted ones too; counted once for a snapshot."""
+        return self._count
+
+    def field_kind(self, name: str) -> str:
+        """The stored column's type name."""
+        return self._every.schema[name].dataType.typeName()
 
     def num_docs(self) -> int:
         return self.stored().count()

@@ -121,7 +121,7 @@ def merge(indexes: list[Index]) -> Index:
     together(Index.stored).write.parquet(f"{path}/stored")
     together(Index.postings).repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{path}/postings")
     together(lambda ix: ix.norms().drop("norm")).write.parquet(f"{path}/norms")
-    postings = first.spark.read.parquet(f"{path}/postings")
+    postings = replace(first, path=path, tombstones=None).postings()
     postings.groupBy("field", "term").agg(F.count("*").alias("df")).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{path}/terms")
     return replace(first, path=path, tombstones=None)
 

@@ -44,7 +44,7 @@ def typed_predicate(index, q: TypedRange | TypedTerm) -> Column:
     elif q.type == "float":
         value, read = float_value(c), lambda s: F.lit(float(s))
     else:
-        if index.spark.read.parquet(f"{index.path}/stored").schema[q.field].dataType.typeName() in ("date", "timestamp", "timestamp_ntz"):
+        if index.field_kind(q.field) in ("date", "timestamp", "timestamp_ntz"):
             value = F.col(q.field).cast("timestamp")
         else:
             value = date_value(c, f.form or YYYY_MM_DD)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -32,7 +34,7 @@ def start_indexing(stream: DataFrame, schema: Schema, path: str, checkpoint: str
 
 
 def refresh_terms(index: Index) -> Index:
-    """Count the dictionary anew after batches have come in."""
-    postings = index.spark.read.parquet(f"{index.path}/postings")
-    postings.groupBy("field", "term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{index.path}/terms")
+    """Count the dictionary anew after batches have come in, and open the index again."""
+    index = replace(index)
+    index.postings().groupBy("field", "term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{index.path}/terms")
     return index
