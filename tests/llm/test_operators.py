@@ -258,3 +258,18 @@ def test_pii(spark, docs, empty):
 def test_queries_are_registered():
     assert [n.split("_")[0] for n in Q.QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert set(Q.SQL) <= set(Q.QUERIES)
+
+
+def test_decontamination_finds_edits_at_all_offsets(spark):
+    rng = np.random.default_rng(7)
+    item = [f"t{i}" for i in rng.integers(0, 900, 40)]
+    filler = lambda s: [f"f{i}" for i in np.random.default_rng(s).integers(0, 3000, 60)]
+    copies = [[w if (i + at) % k else f"new{i}" for i, w in enumerate(item)] for k in (4, 5, 6) for at in range(k)]
+    copies += [[x for i, w in enumerate(item) for x in ([w, f"new{i}"] if (i + at) % 2 else [w])] for at in range(2)]  # a word put in after every second
+    rows = [(i, " ".join(filler(i) + c + filler(i + 99)), "s") for i, c in enumerate(copies)]
+    few = [w if i % 3 else "gone" for i, w in enumerate(item)]  # score 0.5
+    rows += [(100, " ".join(filler(100) + few), "s"), (101, "alpha x beta y gamma", "s"), (102, "alpha x y beta gamma", "s")]
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, "alpha beta gamma")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontamination.contaminated(spark.createDataFrame(rows, KIND), bench).collect()}
+    assert set(got) == {(i, 0) for i in range(len(copies))} | {(101, 1), (102, 1)}
+    assert got[101, 1] == pytest.approx(4 / 6)

@@ -278,3 +278,23 @@ def test_automata_tell_formats():
     assert np.mean([f.accepts(s) for s in held_out]) > 0.9
     assert np.mean([f.accepts(s) for s in others]) < 0.05
     assert f.models[0][0].states < 200 and secrets.Formats({"hex": ["a"]}).models == []
+
+
+def test_stretches_hold_every_alignment():
+    rng = np.random.default_rng(11)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 60, n))) for i, n in enumerate((3, 5, 9, 10, 11, 14, 20, 30, 40))]
+    index, found = decontamination.Index(items, 0.55), 0
+    for _ in range(600):
+        i = int(rng.integers(len(items)))
+        copy = []
+        for w in items[i][1].split():
+            copy += [[w], [w], [], [f"w{rng.integers(0, 90)}"], [w, f"w{rng.integers(0, 90)}"]][rng.choice(5, p=[0.4, 0.2, 0.1, 0.1, 0.2])]
+        around = [f"w{x}" for x in rng.integers(40, 400, 60)]
+        ids = np.array([index.number.get(w, 0) for w in around[:30] + copy + around[30:]], np.int64)
+        best = {k: alignment.best_local(x, [ids])[0][0] for k, x in enumerate(index.items)}
+        parts = index.stretches(ids)
+        for k, x in enumerate(index.items):
+            if best[k] >= 0.55 * 2 * len(x) - 1e-9:
+                found += 1
+                assert max((alignment.best_local(x, [ids[a:b]])[0][0] for j, a, b in parts if j == k), default=0) == best[k]
+    assert found > 200
