@@ -1,4 +1,4 @@
-"""SimHash near-duplicates found through a byte-position inverted index with count filtering."""
+"""SimHash near-duplicates found through a byte-position inverted index with count filtering; near copies by shingle similarity for the pipeline."""
 
 from __future__ import annotations
 
@@ -189,9 +189,131 @@ def near_duplicates(docs: DataFrame, max_bits: int = 3, shingle: int = 3, seed:
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
-def keep_representatives(docs: DataFrame, max_bits: int = 3) -> DataFrame:
-    """The documents without near-duplicates: of each component the row with the smallest doc_id stays, of rows that repeat it with the same text one."""
-    _, of = _components(docs, max_bits, 3, 42)
-    keep = of.select("first").distinct().select(row_key(F.col("first.doc_id"), F.col("first.th")).alias("_key"))
+#: Near copies of the pipeline: five-word shingles, a Jaccard similarity from 0.8. Bands of minima and the rows of each.
+SHINGLE, BANDS, ROWS = 5, 32, 4
+#: Members of a band's list from which it is linked in one task; below, its pairs are joined.
+LINK_FROM = 64
+_rng = np.random.default_rng(42)
+_TIMES, _PLUS = (_rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct XXH64 values of a text's shingles, sorted; a shorter text is one shingle, a wordless one has none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    places = zip(starts[: max(1, len(words) - shingle + 1)].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)
+    return np.unique(np.array([xxhash.xxh64_intdigest(line[a:b], 7) for a, b in places], np.uint64))
+
+
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """A key for each band: sets of similarity J share one of them with probability 1 - (1 - J^ROWS)^BANDS, at 0.8 all but 5e-8."""
+    if not len(h):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for lo in range(0, len(h), 1024):
+        x = (h[lo : lo + 1024, None] ^ _PLUS) * _TIMES
+        np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=0), out=least)
+    key = np.zeros(BANDS, np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        key = (key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + column
+    return key.view(np.int64)
+
+
+def similar(i, n, m):
+    """Whether i common of n and m elements are a Jaccard similarity of 0.8 or more."""
+    return 9 * i >= 4 * (n + m)
+
+
+def set_edges(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Edges that join what all pairs of similar sets would join: each set reached is held against those not reached yet."""
+    size = np.array([len(x) for x in sets], np.int64)
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    parts = np.split(flat, np.cumsum(size)[:-1])
+    mark = np.zeros(int(flat.max()) + 1, bool)
+    left, edges, reached = np.arange(len(sets)), [], []
+    while len(left):
+        if not reached:
+            reached, left = [int(left[0])], left[1:]
+            flat = np.concatenate([parts[i] for i in left]) if len(left) else flat
+        if not len(left):
+            break
+        at = reached.pop()
+        mark[parts[at]] = True
+        common = np.add.reduceat(mark[flat].astype(np.int64), np.cumsum(size[left]) - size[left])
+        mark[parts[at]] = False
+        near = similar(common, size[at], size[left])
+        if near.any():
+            edges += [(int(nodes[at]), int(nodes[i])) for i in left[near]]
+            reached += left[near].tolist()
+            left = left[~near]
+            flat = np.concatenate([parts[i] for i in left]) if len(left) else flat
+    return edges
+
+
+_SETS = "doc_id long, th long, node long, n long, shingles array<long>, bands array<long>"
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, node, n, shingles, bands) for every row; equal sets of shingles have equal nodes."""
+    session(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                b = whole.slice(lo, 1000)
+                sets = [shingles(t) for t in b.column("text").to_pylist()]
+                columns = [
+                    b.column("doc_id"), b.column("th"),
+                    pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], pa.uint64()).view(pa.int64()), pa.array(list(map(len, sets)), pa.int64()),
+                    pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "node", "n", "shingles", "bands"])
+
+    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+    return rows.mapInArrow(run, _SETS)
+
+
+def similar_sets(rows: DataFrame) -> DataFrame:
+    """Edges (u, v) between nodes with the same components as all pairs of similar sets; rows as of shingle_sets().
+
+    Sets that share a band's key are candidates. Of short lists every pair is verified on the whole sets; a long list goes to a task
+    that links its sets, so that many near copies never give all pairs.
+    """
+    unique = rows.filter("n > 0").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
+    posted = unique.select("node", "n", F.posexplode("bands").alias("g", "key"))
+    lists = posted.groupBy("g", "key").agg(F.count("*").alias("many")).filter("many > 1")
+    met = materialise(posted.join(lists, ["g", "key"]), "nearlists")
+    texts = rows.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.any_value("shingles").alias("shingles"))
+    texts = materialise(texts, "nearsets")
+    short = met.filter(F.col("many") <= LINK_FROM)
+    one, two = (short.select("g", "key", F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "uv")
+    sizes = (F.col("u") < F.col("v")) & (F.least("nu", "nv") * 5 >= F.greatest("nu", "nv") * 4)
+    pairs = one.join(two, ["g", "key"]).filter(sizes).select("u", "v", "nu", "nv").distinct()
+    pairs = pairs.join(texts.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u").join(texts.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
+    edges = pairs.filter(similar(F.size(F.array_intersect("su", "sv")), F.col("nu"), F.col("nv"))).select("u", "v")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(set_edges(pdf["node"].to_numpy(np.int64), [np.asarray(x, np.int64) for x in pdf["shingles"]]), columns=["u", "v"], dtype="int64")
+
+    long = met.filter(F.col("many") > LINK_FROM).select("g", "key", "node").join(texts, "node")
+    return edges.unionByName(long.groupBy("g", "key").applyInPandas(run, "u long, v long"))
+
+
+def keep_representatives(docs: DataFrame) -> DataFrame:
+    """The documents without near-duplicates: texts link if the Jaccard similarity of their five-word shingles is 0.8 or more.
+
+    Of each component the row with the smallest doc_id stays, of rows that repeat it with the same text one. Null and wordless texts are
+    copies of each other.
+    """
+    rows = materialise(shingle_sets(docs), "shingles")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("first")
+    named = rows.groupBy("node").agg(first).withColumnRenamed("node", "own")
+    roots = connected_components(similar_sets(rows))
+    of = named.join(roots, named["own"] == roots["node"], "left").groupBy(F.coalesce("root", "own").alias("root")).agg(F.min("first").alias("first"))
+    keep = of.select(row_key(F.col("first.doc_id"), F.col("first.th")).alias("_key")).distinct()
     keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.xxhash64("text")))
     return keyed.join(keep, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")

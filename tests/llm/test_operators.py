@@ -273,3 +273,27 @@ def test_decontamination_finds_edits_at_all_offsets(spark):
     got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontamination.contaminated(spark.createDataFrame(rows, KIND), bench).collect()}
     assert set(got) == {(i, 0) for i in range(len(copies))} | {(101, 1), (102, 1)}
     assert got[101, 1] == pytest.approx(4 / 6)
+
+
+@pytest.mark.parametrize("link_from", [64, 2])
+def test_representatives_are_those_of_brute_jaccard(spark, monkeypatch, link_from):
+    monkeypatch.setattr(simhash, "LINK_FROM", link_from)
+    rng = np.random.default_rng(21)
+    rows = []
+    for base in range(25):
+        words = [f"b{base}w{i}" for i in rng.integers(0, 300, int(rng.integers(20, 150)))]
+        for _ in range(6):
+            share = rng.choice([0.005, 0.02, 0.04])
+            rows.append((len(rows), " ".join(w if rng.random() > share else f"e{rng.integers(0, 999)}" for w in words), "s"))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for _, t, _ in rows)]
+    root, near_only = list(range(len(rows))), 0
+    fps = [simhash.fingerprint(t) for _, t, _ in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                near_only += (fps[i] ^ fps[j]).bit_count() > 3
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert near_only > 10
+    kept = {r["doc_id"] for r in simhash.keep_representatives(spark.createDataFrame(rows, KIND)).collect()}
+    assert kept == set(root)
