@@ -105,10 +105,15 @@ class Index:
                 if tried and d - tried[-1] <= BAND // 2:
                     continue
                 tried.append(d)
-                lo = max(0, d - BAND)
-                score, matched, start, end = banded(item, ids[lo : d + len(item) + BAND + 1], d - lo, BAND)
-                if matched >= coverage * len(item):
-                    found.append((score, name, matched / len(item), matched, lo + start, lo + end))
+                rest = [(max(0, d - BAND), min(len(ids), d + len(item) + BAND + 1))]
+                while rest:  # beside a copy there may be another within the band
+                    lo, hi = rest.pop()
+                    if hi - lo < coverage * len(item):
+                        continue
+                    score, matched, start, end = banded(item, ids[lo:hi], d - lo, BAND)
+                    if matched and matched >= coverage * len(item):
+                        found.append((score, name, matched / len(item), matched, lo + start, lo + end))
+                        rest += [(lo, lo + start), (lo + end, hi)]
         if not found:
             return []
         found.sort(key=lambda f: (-f[0], f[4], f[1]))

@@ -298,3 +298,12 @@ def test_stretches_hold_every_alignment():
                 found += 1
                 assert max((alignment.best_local(x, [ids[a:b]])[0][0] for j, a, b in parts if j == k), default=0) == best[k]
     assert found > 200
+
+
+@pytest.mark.parametrize("between", ["", " And", " x y z"])
+def test_every_copy_of_a_repeated_notice_is_found(between):
+    notice = "Released under the MIT License."
+    for n in (2, 3, 7):
+        text = " ".join([notice + between] * n)
+        got = licenses.Index(licenses.TEMPLATES).scan(text, 0.8)
+        assert [text[g[3] : g[4]] for g in got] == [notice[:-1]] * n
