@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,10 +42,15 @@ TERMINATORS = ("period", "question-mark", "exclamation-mark", "semicolon")
 
 @dataclass(frozen=True)
 class Token:
+    """A token; equal and ordered by start, end and image."""
+
     image: str
     start: int
     end: int
-    type: str = "word"
+    type: str = field(default="word", compare=False)
+
+    def __lt__(self, other: Token) -> bool:
+        return (self.start, self.end, self.image) < (other.start, other.end, other.image)
 
 
 def scan(pattern: str, text: str) -> list[Token]:
@@ -106,6 +111,7 @@ class Analyzer:
     column: Callable[[Column], Column]
     twin: Callable[[str], list[Token]]
     typed: Callable[[Column], Column] | None = None
+    pattern: str | None = None  # where the tokens are this pattern's matches, but for case
 
     def terms(self, text: str | None) -> list[str]:
         return [t.image for t in self.twin(text or "")]
@@ -117,7 +123,7 @@ def _lowered(tokens: list[Token]) -> list[Token]:
 
 def _plain(name: str, pattern: str, lower: bool = False) -> Analyzer:
     column = (lambda c: F.transform(extract(pattern, c), F.lower)) if lower else (lambda c: extract(pattern, c))
-    return Analyzer(name, column, (lambda t: _lowered(scan(pattern, t))) if lower else (lambda t: scan(pattern, t)))
+    return Analyzer(name, column, (lambda t: _lowered(scan(pattern, t))) if lower else (lambda t: scan(pattern, t)), pattern=pattern)
 
 
 base = _plain("base", BASE)
@@ -210,7 +216,21 @@ def token_table(df, text_column: str, analyzer: Analyzer, key: str = "doc_id"):
 
 
 def offsets(df, text_column: str, analyzer: Analyzer, key: str = "doc_id"):
-    """(key, position, image, start, end, type): with character offsets, which need Python."""
+    """(key, position, image, start, end, type): with character offsets.
+
+    Where tokens are a pattern's matches, a token begins after the tokens and gaps before it: a running sum by built-in functions
+    (equal keys would be one text there, so keys are unique). Analyzers that change or drop tokens have their offsets from their twin.
+    """
+    if analyzer.pattern:
+        from pyspark.sql import Window
+
+        c, split = F.coalesce(F.col(text_column), F.lit("")), f"(?U){analyzer.pattern}"
+        pairs = F.arrays_zip(analyzer.column(c).alias("image"), F.transform(F.split(c, split, -1), F.length).alias("gap"))
+        rows = df.select(key, F.posexplode(pairs).alias("position", "x")).select(key, "position", "x.image", "x.gap").filter("image IS NOT NULL")
+        end = F.sum(F.col("gap") + F.length("image")).over(Window.partitionBy(key).orderBy("position"))
+        placed = rows.withColumn("end", end.cast("int"))
+        return placed.select(key, "position", "image", (F.col("end") - F.length("image")).alias("start"), "end", F.lit("word").alias("type"))
+
     import pyarrow as pa
 
     from loomtext.sources.storage import with_workers

@@ -217,3 +217,12 @@ def absolute_path(path: Column, root: Column) -> Column:
 def file_suffix(path: Column) -> Column:
     """What follows the last hyphen of the file name without its extension."""
     return F.substring_index(F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", ""), "-", -1)
+
+
+#: Seconds from the start of 1900 to the start of 1970, both UTC.
+UNIVERSAL_TO_UNIX = 2_208_988_800
+
+
+def universal_time_text(seconds: Column, form: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """Seconds since 1900 (UTC) as text, in the session's time zone."""
+    return F.date_format(F.timestamp_seconds(seconds - UNIVERSAL_TO_UNIX), form)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import analysis
 from loomtext.operators.highlight import sentences
 from loomtext.operators.phrases import is_word
-from loomtext.sources.storage import materialise
+from loomtext.sources.storage import with_workers
 
 #: Words of an abstract at most; the place whose overlap is the limit among more.
 MOST, LIMIT_AT = 12, 9
@@ -32,44 +33,77 @@ def core_sentences(text: Column, core: str) -> Column:
 
 
 def abstract_words(words: DataFrame, core: str, key: str = "doc_id") -> DataFrame:
-    """(key, word, frequency, overlap, saturation, core): from sentence_words.
+    """(key, word, frequency, overlap, saturation, core): from sentence_words. A text without the core word has no rows.
 
-    overlap: occurrences in sentences with the core word; saturation: overlap / frequency. Of at most twelve words those without
-    overlap go; of more, those stay that reach the ninth's overlap, twelve at most, the core first, then by overlap and word.
+    overlap: occurrences in sentences with the core word; saturation: overlap / frequency. Words without overlap go. Of at most twelve
+    words the rest stays; of more, those that reach the ninth's overlap, twelve at most, the core first, then by overlap and word.
+    All windows and the aggregate are by key, so the words move once.
     """
-    core = core.lower()
-    mine = words.filter(F.col("word") == core).select(key, "sentence").distinct().withColumn("hit", F.lit(1))
-    counted = words.join(mine, [key, "sentence"], "left").groupBy(key, "word").agg(F.count("*").alias("frequency"), F.count("hit").alias("overlap"))
-    is_core = F.col("word") == core
+    is_core = F.col("word") == core.lower()
+    near = words.withColumn("hit", F.max(is_core.cast("int")).over(Window.partitionBy(key, "sentence")))
+    counted = near.groupBy(key, "word").agg(F.count("*").alias("frequency"), F.sum("hit").alias("overlap"))
     rated = counted.withColumn("core", is_core).withColumn("saturation", F.when(is_core, F.lit(1.0)).otherwise(F.col("overlap") / F.col("frequency")))
     order = Window.partitionBy(key).orderBy(F.col("core").desc(), F.col("overlap").desc(), "word")
     every = Window.partitionBy(key)
-    placed = rated.withColumn("place", F.row_number().over(order)).withColumn("total", F.count("*").over(every))
-    placed = placed.withColumn("limit", F.max(F.when(F.col("place") == LIMIT_AT, F.col("overlap"))).over(every))
-    few = (F.col("total") <= MOST) & (F.col("core") | (F.col("overlap") > 0))
-    many = (F.col("total") > MOST) & (F.col("place") <= MOST) & (F.col("core") | (F.col("overlap") >= F.col("limit")))
-    return placed.filter(few | many).select(key, "word", "frequency", "overlap", "saturation", "core")
+    placed = rated.withColumn("place", F.row_number().over(order)).withColumn("total", F.count("*").over(every)).withColumn("has_core", F.max("core").over(every))
+    placed = placed.withColumn("limit", F.max(F.when(F.col("place") == LIMIT_AT, F.col("overlap"))).over(every)).filter("has_core AND overlap > 0")
+    many = (F.col("place") <= MOST) & (F.col("core") | (F.col("overlap") >= F.col("limit")))
+    return placed.filter((F.col("total") <= MOST) | many).select(key, "word", "frequency", "overlap", "saturation", "core")
 
 
 def abstract(df: DataFrame, text: str, core: str, key: str = "doc_id", stop_words: list[str] | None = None) -> DataFrame:
-    return abstract_words(sentence_words(df, text, key, stop_words), core, key)
+    return abstract_words(sentence_words(df.filter(F.col(text).rlike(rf"(?i){re.escape(core)}")), text, key, stop_words), core, key)
 
 
-def wordmap(df: DataFrame, text: str, core: str, key: str = "doc_id", stop_words: list[str] | None = None, most: int = 4) -> DataFrame:
-    """(key, parent, word, overlap, saturation): the abstract of the core and, below each of its words, the words that share most sentences with it.
+def orbits(where: dict[str, list[int]], centre: str, free: list[str]) -> list[tuple[str, int, float]]:
+    """(word, overlap, saturation) of the free words that share sentences with the centre, by the rule of the abstract; the centre is left out.
 
-    The second level is one self-join of the words' sentences with those of the first level, of at most twelve words a text.
+    where: the sentences of each word, one entry an occurrence.
+    """
+    mine = set(where[centre])
+    rated = sorted(((w, sum(s in mine for s in where[w])) for w in free if w != centre), key=lambda x: (-x[1], x[0]))
+    if len(rated) >= MOST:
+        least = rated[LIMIT_AT - 2][1]
+        rated = [x for x in rated if x[1] >= least][: MOST - 1]
+    return [(w, n, n / len(where[w])) for w, n in rated if n]
+
+
+def word_map_of(sentences: list[list[str]], core: str) -> list[tuple[str, str, int, float]]:
+    """(parent, word, overlap, saturation) of one text's sentences: below the core its abstract, below each of those words, in order,
+    the abstract of it among the words that are not taken yet."""
+    where: dict[str, list[int]] = {}
+    for i, s in enumerate(sentences):
+        for w in s:
+            where.setdefault(w, []).append(i)
+    if core not in where:
+        return []
+    inner = orbits(where, core, list(where))
+    taken = {core, *[w for w, _, _ in inner]}
+    out = [(core, core, len(where[core]), 1.0), *[(core, *x) for x in inner]]
+    for parent, _, _ in inner:
+        found = orbits(where, parent, [w for w in where if w not in taken])
+        taken |= {w for w, _, _ in found}
+        out += [(parent, *x) for x in found]
+    return out
+
+
+def wordmap(df: DataFrame, text: str, core: str, key: str = "doc_id", stop_words: list[str] | None = None) -> DataFrame:
+    """(key, parent, word, overlap, saturation): the sentences with the core word as a map of two levels (see word_map_of).
+
+    The core stands below itself. Sentences and words are found by built-in functions; only texts with the core reach Python, where
+    each word is placed once, below the first parent that claims it. Nothing is exchanged.
     """
-    words = materialise(sentence_words(df, text, key, stop_words), "sentences")
-    first = abstract_words(words, core, key)
-    inner = first.filter("NOT core").select(key, F.col("word").alias("parent"))
-    spots = words.withColumn("parent", F.col("word")).join(inner, [key, "parent"]).select(key, "sentence", "parent").distinct()
-    shared = words.join(spots, [key, "sentence"]).filter(F.col("word") != F.col("parent")).groupBy(key, "parent", "word").agg(F.count("*").alias("overlap"))
-    total = words.groupBy(key, "word").agg(F.count("*").alias("frequency"))
-    place = Window.partitionBy(key, "parent").orderBy(F.col("overlap").desc(), "word")
-    second = shared.join(total, [key, "word"]).filter(F.col("word") != core.lower()).withColumn("place", F.row_number().over(place)).filter(F.col("place") <= most)
-    top = first.select(key, F.lit(core.lower()).alias("parent"), "word", "overlap", "saturation")
-    return top.unionByName(second.select(key, "parent", "word", "overlap", (F.col("overlap") / F.col("frequency")).alias("saturation")))
+    with_workers(df.sparkSession)
+    core = core.lower()
+    listed = analysis.stop_words() if stop_words is None else stop_words
+    words = lambda s: F.transform(F.filter(analysis.extract(analysis.TEXT, s), lambda x: (F.length(x) > 1) & is_word(x, listed)), F.lower)
+    texts = df.filter(F.col(text).rlike(rf"(?i){re.escape(core)}")).select(key, F.transform(core_sentences(F.col(text), core), words).alias("sentences"))
+
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda ss: [{"parent": p, "word": w, "overlap": n, "saturation": f} for p, w, n, f in word_map_of([list(s) for s in ss], core)])
+
+    found = F.pandas_udf(run, "array<struct<parent: string, word: string, overlap: long, saturation: double>>")(F.col("sentences"))
+    return texts.select(key, F.explode(found).alias("x")).select(key, "x.parent", "x.word", "x.overlap", "x.saturation")
 
 
 def colour(saturation: Column, core: Column) -> Column:

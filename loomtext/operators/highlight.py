@@ -77,9 +77,11 @@ def whole_match(text: Column, patterns: list[str]) -> Column:
     return text.rlike("(?iU)^(?:" + "|".join(patterns) + ")$")
 
 
-def precis(text: Column, patterns: list[str], every: bool = False) -> Column:
-    """The first matching stretch between . ; ! ? and commas, or all of them."""
+def precis(text: Column, patterns: list[str], every: bool = False, conditions: list[str] | None = None) -> Column:
+    """The first matching stretch between . ; ! ? and commas, or all of them; with conditions (of required clauses) it must match one of them."""
     found = F.filter(sentences(text, ".;!?,"), lambda s: s.rlike(any_of(patterns)))
+    if conditions:
+        found = F.filter(found, lambda s: s.rlike(any_of(conditions)))
     found = F.transform(found, lambda s: F.trim(s))
     return found if every else F.try_element_at(found, F.lit(1))
 

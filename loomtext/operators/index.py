@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import analysis
 from loomtext.functions.similarity import Similarity, decode_norm_column, encode_norm_column
-from loomtext.sources.storage import fresh_path, with_workers
+from loomtext.sources.storage import exists, fresh_path, spread, with_workers
 
 
 @dataclass(frozen=True)
@@ -90,90 +90,151 @@ def _tokens(schema: Schema, f: FieldDef, docs: DataFrame) -> Column:
 
 
 #: Schemas of the tables: given to the readers, so that opening one needs no job.
-POSTINGS = "field string, term string, doc_id long, tf long, positions array<int>"
+POSTINGS = "field string, term string, doc_id long, tf long, norm_byte int, positions array<int>"
 TERMS = "field string, term string, df long"
 NORMS = "field string, doc_id long, length long, boost double, norm_byte int"
 
 
-def invert(docs: DataFrame, schema: Schema) -> DataFrame:
-    """(field, term, doc_id, tf, positions): the postings. Each text is analysed once; one exchange sums a document's occurrences."""
-    parts = [docs.select(F.lit(f.name).alias("field"), F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(_tokens(schema, f, docs)).alias("position", "term")) for f in schema.fields if f.indexed]
+def invert(docs: DataFrame, schema: Schema, similarity: Similarity | None = None) -> DataFrame:
+    """(field, term, doc_id, tf, norm_byte, positions): the postings. Each text is analysed once; one exchange sums a document's occurrences.
+
+    The length norm of a document's field is known where its tokens lie, so it goes into the postings: a ranked query joins nothing.
+    """
+    own = F.coalesce(F.col(schema.boost).cast("double"), F.lit(1.0)) if schema.boost else F.lit(1.0)
+    parts = []
+    for f in schema.fields:
+        if f.indexed:
+            boost = (own * F.lit(f.boost)).alias("boost")
+            rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), boost, _tokens(schema, f, docs).alias("tokens")).filter(F.size("tokens") > 0)
+            norm = encode_norm_column(F.col("boost") * (similarity or Similarity()).length_norm(F.size("tokens"))) if f.index != "no_norms" else F.lit(None).cast("int")
+            parts.append(rows.select(F.lit(f.name).alias("field"), "doc_id", norm.alias("norm_byte"), F.posexplode("tokens").alias("position", "term")))
     if not parts:
         return docs.sparkSession.createDataFrame([], POSTINGS)
     rows = reduce(DataFrame.unionByName, parts).filter(F.col("term").isNotNull())
-    found = rows.groupBy("field", "term", "doc_id").agg(F.sort_array(F.collect_list("position")).alias("positions"))
-    return found.select("field", "term", "doc_id", F.size("positions").cast("long").alias("tf"), "positions")
+    found = rows.groupBy("field", "term", "doc_id").agg(F.any_value("norm_byte").alias("norm_byte"), F.sort_array(F.collect_list("position")).alias("positions"))
+    return found.select("field", "term", "doc_id", F.size("positions").cast("long").alias("tf"), "norm_byte", "positions")
 
 
 def norm_table(postings: DataFrame, docs: DataFrame, schema: Schema) -> DataFrame:
-    """(field, doc_id, length, boost, norm_byte): from the postings' counts, without another look at the texts. Fields without norms have none."""
-    plain = [f.name for f in schema.fields if f.index == "no_norms"]
+    """(field, doc_id, length, boost, norm_byte): from the postings, without another look at the texts. Fields without norms have none."""
     boosts = F.create_map(*[x for f in schema.fields for x in (F.lit(f.name), F.lit(f.boost))])
-    lengths = postings.filter(~F.col("field").isin(*plain) if plain else F.lit(True)).groupBy("field", "doc_id").agg(F.sum("tf").alias("length"))
+    lengths = postings.filter("norm_byte IS NOT NULL").groupBy("field", "doc_id").agg(F.sum("tf").alias("length"), F.any_value("norm_byte").alias("norm_byte"))
     if schema.boost:
         own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(schema.boost).cast("double"), F.lit(1.0)).alias("own"))
         lengths = lengths.join(own, "doc_id")
     else:
         lengths = lengths.withColumn("own", F.lit(1.0))
-    boost = F.col("own") * F.element_at(boosts, F.col("field"))
-    norm = encode_norm_column(boost / F.sqrt(F.col("length").cast("double")))
-    return lengths.select("field", "doc_id", "length", boost.alias("boost"), norm.alias("norm_byte"))
+    return lengths.select("field", "doc_id", "length", (F.col("own") * F.element_at(boosts, F.col("field"))).alias("boost"), "norm_byte")
+
+
+ORDER = ("field", "term", "doc_id")
+
+
+def write_dictionary(postings: DataFrame, path: str) -> None:
+    counted = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+    counted.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/terms")
+
+
+def write_segment(docs: DataFrame, schema: Schema, path: str, similarity: Similarity | None = None) -> None:
+    """The tables of one segment. Documents lie in order of doc_id, postings in order of field, term and document, so that
+    a lookup reads few row groups and a term in every document is spread over files."""
+    with_workers(docs.sparkSession)
+    spread(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/stored")
+    stored = spread(docs.sparkSession.read.parquet(f"{path}/stored"))
+    invert(stored, schema, similarity).repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).write.mode("overwrite").parquet(f"{path}/postings")
+    postings = docs.sparkSession.read.schema(POSTINGS).parquet(f"{path}/postings")
+    write_dictionary(postings, path)
+    norm_table(postings, stored, schema).write.mode("overwrite").parquet(f"{path}/norms")
 
 
 @dataclass(frozen=True)
 class Index:
-    """A snapshot: tables under one path, with the documents deleted since. Every change gives a new Index; this one stays as it was."""
+    """A snapshot: segments, each a folder of tables, with the documents deleted since.
+
+    Every change gives a new Index and writes only what is new; this one stays as it was. A tombstone (doc_id, below) hides a document in
+    the segments before `below`, so a newer segment may hold the document again. `own_norms` (doc_id, field, norm_byte) go before those
+    written. A persisted index knows its folder (`root`) and the version it was opened at.
+    """
 
     spark: SparkSession
-    path: str
+    segments: tuple[str, ...]
     schema: Schema
     tombstones: DataFrame | None = None
     similarity: Similarity = Similarity()
+    own_norms: DataFrame | None = None
+    root: str | None = None
+    version: int | None = None
 
     @classmethod
     def build(cls, docs: DataFrame, schema: Schema, path: str | None = None, similarity: Similarity | None = None) -> Index:
-        """docs has doc_id (long, unique, not null) and a column for each field. Postings lie in order of field, term and document, so
-        that a lookup reads few row groups and a term in every document is spread over files."""
-        spark = with_workers(docs.sparkSession)
-        path = path or fresh_path(spark, "index")
-        docs.write.mode("overwrite").parquet(f"{path}/stored")
-        stored = spark.read.parquet(f"{path}/stored")
-        order = ("field", "term", "doc_id")
-        invert(stored, schema).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/postings")
-        postings = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
-        postings.groupBy("field", "term").agg(F.count("*").alias("df")).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/terms")
-        norm_table(postings, stored, schema).write.mode("overwrite").parquet(f"{path}/norms")
-        return cls(spark, path, schema, None, similarity or Similarity())
+        """docs has doc_id (long, unique, not null) and a column for each field."""
+        path = path or fresh_path(docs.sparkSession, "index")
+        write_segment(docs, schema, path, similarity)
+        return cls(docs.sparkSession, (path,), schema, None, similarity or Similarity())
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, schema: Schema) -> Index:
-        return cls(spark, path, schema)
-
-    def _live(self, df: DataFrame) -> DataFrame:
-        return df if self.tombstones is None else df.join(self.tombstones, "doc_id", "left_anti")
+        """The newest version at the folder of a persisted index, or the one segment that the folder is."""
+        newest = newest_version(spark, path)
+        if newest is None:
+            return cls(spark, (path,), schema)
+        version, names = newest
+        return cls(spark, tuple(f"{path}/{n}" for n in names), schema, root=path, version=version)
+
+    def is_current(self) -> bool:
+        """Whether no newer version has been written to the folder since this one was opened."""
+        newest = newest_version(self.spark, self.root) if self.root else None
+        return newest is None or newest[0] == self.version
+
+    def newest(self) -> Index:
+        return self if self.is_current() else Index.open(self.spark, self.root, self.schema).with_similarity(self.similarity)
+
+    def read(self, name: str, schema: str | None = None, live: bool = True) -> DataFrame:
+        """One of the tables over all segments, without deleted documents if `live`."""
+        parts = []
+        for i, path in enumerate(self.segments):
+            reader = self.spark.read.schema(schema) if schema else self.spark.read
+            part = reader.parquet(f"{path}/{name}")
+            parts.append(part.withColumn("_segment", F.lit(i)) if live and self.tombstones is not None else part)
+        out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        if not live or self.tombstones is None:
+            return out
+        gone = self.tombstones.select(F.col("doc_id").alias("_gone"), F.col("below").alias("_below"))
+        return out.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.col("_segment") < F.col("_below")), "left_anti").drop("_segment")
 
     def stored(self) -> DataFrame:
-        return self._live(self._every)
+        return self.read("stored")
 
     @cached_property
     def _every(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/stored")
+        return self.read("stored", live=False)
 
     @cached_property
     def _count(self) -> int:
         return self._every.count()
 
+    @cached_property
+    def known(self) -> dict:
+        """Statistics that queries have looked up in this snapshot."""
+        return {}
+
+    def _with_own_norms(self, df: DataFrame) -> DataFrame:
+        if self.own_norms is None:
+            return df
+        mine = self.own_norms.withColumnRenamed("norm_byte", "_own")
+        return df.join(mine, ["doc_id", "field"], "left").withColumn("norm_byte", F.coalesce("_own", "norm_byte")).select(*df.columns)
+
     def postings(self) -> DataFrame:
-        return self._live(self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings"))
+        return self._with_own_norms(self.read("postings", POSTINGS))
 
     def terms(self) -> DataFrame:
         """The dictionary; like max_doc it counts deleted documents until the index is compacted."""
-        return self.spark.read.schema(TERMS).parquet(f"{self.path}/terms")
+        each = self.read("terms", TERMS, live=False)
+        return each if len(self.segments) == 1 else each.groupBy("field", "term").agg(F.sum("df").alias("df"))
 
     def norms(self) -> DataFrame:
-        """(field, doc_id, norm): decoded."""
-        n = self._live(self.spark.read.schema(NORMS).parquet(f"{self.path}/norms"))
-        return n.withColumn("norm", decode_norm_column(F.col("norm_byte")))
+        """(field, doc_id, length, boost, norm_byte, norm): decoded."""
+        return self._with_own_norms(self.read("norms", NORMS)).withColumn("norm", decode_norm_column(F.col("norm_byte")))
 
     def max_doc(self) -> int:
         """All documents, deleted ones too; counted once for a snapshot."""
@@ -212,10 +273,16 @@ class Index:
         return found.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
 
     def term_vector(self, field: str, doc_id: int | None = None) -> DataFrame:
-        """(doc_id, terms array<(term, tf, positions)>), terms in order."""
-        rows = self.postings().filter(F.col("field") == field)
-        rows = rows if doc_id is None else rows.filter(F.col("doc_id") == doc_id)
-        return rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term", "tf", "positions"))).alias("terms"))
+        """(doc_id, terms array<(term, tf, positions)>), terms in order; with `offsets` array<(start, end)> where the field keeps them."""
+        mine = lambda df: df if doc_id is None else df.filter(F.col("doc_id") == doc_id)
+        rows = mine(self.postings().filter(F.col("field") == field))
+        parts = [F.col("term"), F.col("tf"), F.col("positions")]
+        if field in self.schema.names("offsets"):
+            # places in the text come from the stored text, analysed again for the documents asked for only
+            spots = analysis.offsets(mine(self.stored()), field, self.schema.of(field)).groupBy("doc_id", F.col("image").alias("term"))
+            rows = rows.join(spots.agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("offsets")), ["doc_id", "term"])
+            parts.append(F.col("offsets"))
+        return rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*parts))).alias("terms"))
 
     def field_values(self, field: str) -> DataFrame:
         """Distinct values that aren't empty, in order without case."""
@@ -228,3 +295,29 @@ class Index:
 
     def with_similarity(self, similarity: Similarity) -> Index:
         return replace(self, similarity=similarity)
+
+
+def index_of_term(vector: Column, term: str) -> Column:
+    """The place of a term in a term vector's terms, from 0; -1 where it is missing."""
+    return (F.array_position(F.transform(vector, lambda t: t["term"]), F.lit(term)) - 1).cast("int")
+
+
+def indexes_of_terms(vector: Column, terms: list[str]) -> Column:
+    return F.array(*[index_of_term(vector, t) for t in terms])
+
+
+def newest_version(spark: SparkSession, root: str) -> tuple[int, list[str]] | None:
+    """(version, folders of its segments) of a persisted index, or None. A version is one committed write, so it is seen whole or not at all."""
+    if not exists(spark, f"{root}/versions"):
+        return None
+    rows = spark.read.schema("version int, at int, name string").json(f"{root}/versions")
+    last = rows.agg(F.max("version")).first()[0]
+    return None if last is None else (last, [r["name"] for r in rows.filter(F.col("version") == last).orderBy("at").collect() if r["name"]])
+
+
+def write_version(spark: SparkSession, root: str, names: list[str]) -> int:
+    newest = newest_version(spark, root)
+    version = newest[0] + 1 if newest else 1
+    rows = [(version, i, n) for i, n in enumerate(names)]
+    spark.createDataFrame(rows, "version int, at int, name string").coalesce(1).write.mode("append").json(f"{root}/versions")
+    return version

@@ -1,4 +1,7 @@
-"""Changing an index: add, upsert, insert if absent, delete, update, undelete, merge, compact, persist. Each gives a new snapshot."""
+"""Changing an index: add, upsert, insert if absent, delete, update, undelete, merge, compact, persist. Each gives a new snapshot.
+
+What is new becomes a segment of its own and what it replaces is marked by tombstones, so a change costs what it changes.
+"""
 
 from __future__ import annotations
 
@@ -9,64 +12,73 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions.similarity import encode_norm
-from loomtext.operators.index import Index
+from loomtext.operators.index import ORDER, POSTINGS, Index, newest_version, write_dictionary, write_segment, write_version
 from loomtext.operators.search import Searcher
 from loomtext.plans.query import Query
 from loomtext.sources.storage import fresh_path, materialise
 
+#: Segments from which adding one looks for those to merge.
+MERGE_FROM = 10
+
 
-def _key(index: Index, df: DataFrame) -> Column:
+def _key(index: Index) -> Column:
     return F.lower(F.col(index.schema.key).cast("string"))
 
 
 def _last_of_each(index: Index, new: DataFrame) -> DataFrame:
     """Of new rows with one key the one with the largest doc_id."""
-    newest = new.groupBy(_key(index, new).alias("_k")).agg(F.max("doc_id").alias("_d"))
+    newest = new.groupBy(_key(index).alias("_k")).agg(F.max("doc_id").alias("_d"))
     return new.join(newest, new["doc_id"] == newest["_d"], "left_semi")
 
 
-def upsert_rows(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """stored, with rows of the same key (without case) replaced by new ones."""
-    keys = new.select(F.lower(F.col(key).cast("string")).alias("_k"))
-    return stored.withColumn("_k", F.lower(F.col(key).cast("string"))).join(keys, "_k", "left_anti").drop("_k").unionByName(new, allowMissingColumns=True)
+def _with_key(index: Index, keys: DataFrame) -> DataFrame:
+    """doc_ids of the live documents whose key is among `keys` (column _k)."""
+    return index.stored().select("doc_id", _key(index).alias("_k")).join(keys, "_k", "left_semi").select("doc_id")
 
 
-def insert_rows(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """stored, with those new rows whose key isn't there."""
-    keys = stored.select(F.lower(F.col(key).cast("string")).alias("_k"))
-    fresh = new.withColumn("_k", F.lower(F.col(key).cast("string"))).join(keys, "_k", "left_anti").drop("_k")
-    return stored.unionByName(fresh, allowMissingColumns=True)
+def _tombstones(index: Index, gone: DataFrame) -> DataFrame:
+    mine = gone.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(len(index.segments)).alias("below"))
+    if index.tombstones is not None:
+        mine = mine.unionByName(index.tombstones)
+    return materialise(mine.groupBy("doc_id").agg(F.max("below").alias("below")), "tombstones")
 
 
-def _rebuilt(index: Index, docs: DataFrame) -> Index:
-    return Index.build(docs, index.schema, similarity=index.similarity)
+def _appended(index: Index, docs: DataFrame, gone: DataFrame | None = None) -> Index:
+    """The index with one more segment; `gone`: doc_ids of the documents that it replaces."""
+    path = fresh_path(index.spark, "index")
+    write_segment(docs, index.schema, path, index.similarity)
+    tombstones = index.tombstones if gone is None else _tombstones(index, gone)
+    return _merged_by_size(replace(index, segments=(*index.segments, path), tombstones=tombstones))
 
 
 def add(index: Index, docs: DataFrame) -> Index:
-    """Documents with new doc_ids are appended; their postings are made alone and join the others."""
-    return merge([index, Index.build(docs, index.schema, similarity=index.similarity)])
+    """Documents are appended as a segment. Their doc_ids are moved up together where they would clash with those that are there."""
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    top = index.read("stored", live=False).agg(F.max("doc_id")).first()[0]
+    by = top + 1 - low if low is not None and top is not None and low <= top else 0
+    return _appended(index, docs.withColumn("doc_id", (F.col("doc_id") + by).cast("long")) if by else docs)
 
 
 def upsert(index: Index, docs: DataFrame) -> Index:
-    return _rebuilt(index, upsert_rows(index.stored(), _last_of_each(index, docs), index.schema.key))
+    """Documents replace those with the same key, without case; of several new ones with one key the last (by doc_id) counts."""
+    last = _last_of_each(index, docs)
+    return _appended(index, last, _with_key(index, last.select(_key(index).alias("_k"))))
 
 
 def insert_if_absent(index: Index, docs: DataFrame) -> Index:
-    return _rebuilt(index, insert_rows(index.stored(), _last_of_each(index, docs), index.schema.key))
+    """Documents whose key isn't there are added, the others passed over."""
+    there = index.stored().select(_key(index).alias("_k"))
+    fresh = _last_of_each(index, docs).withColumn("_k", _key(index)).join(there, "_k", "left_anti").drop("_k")
+    return _appended(index, fresh)
 
 
 def delete(index: Index, what: DataFrame | Query | str | int) -> Index:
     """Documents by number, by query, or by a table of doc_ids. They are marked; compact() removes them."""
     if isinstance(what, int):
         gone = index.spark.range(what, what + 1).withColumnRenamed("id", "doc_id")
-    elif isinstance(what, DataFrame):
-        gone = what.select("doc_id")
     else:
-        gone = Searcher(index).hits(what).select("doc_id")
-    gone = gone.select(F.col("doc_id").cast("long").alias("doc_id"))
-    if index.tombstones is not None:
-        gone = gone.unionByName(index.tombstones)
-    return replace(index, tombstones=materialise(gone.distinct(), "tombstones"))
+        gone = what if isinstance(what, DataFrame) else Searcher(index).hits(what)
+    return replace(index, tombstones=_tombstones(index, gone))
 
 
 def undelete_all(index: Index) -> Index:
@@ -77,53 +89,56 @@ def has_deletions(index: Index) -> bool:
     return index.tombstones is not None and not index.tombstones.isEmpty()
 
 
+def deletion_count(index: Index) -> int:
+    return index.max_doc() - index.num_docs()
+
+
 def is_deleted(index: Index, doc_id: int) -> bool:
-    return index.tombstones is not None and not index.tombstones.filter(F.col("doc_id") == doc_id).isEmpty()
+    """Whether the document was there and is no longer."""
+    mine = lambda df: not df.filter(F.col("doc_id") == doc_id).isEmpty()
+    return index.tombstones is not None and mine(index.tombstones) and not mine(index.stored().select("doc_id"))
 
 
 def update(index: Index, what: Query | str | int, values: dict[str, object] | Callable[[DataFrame], DataFrame]) -> Index:
     """Matching documents get the given field values (or what the function makes of them); they keep their doc_id."""
     stored = index.stored()
-    hit = F.col("doc_id") == what if isinstance(what, int) else None
-    ids = None if hit is not None else Searcher(index).hits(what).select("doc_id")
-    mine = stored.filter(hit) if ids is None else stored.join(ids, "doc_id", "left_semi")
-    others = stored.filter(~hit) if ids is None else stored.join(ids, "doc_id", "left_anti")
-    if callable(values):
-        changed = values(mine)
-    else:
-        changed = mine.withColumns({k: F.lit(v) for k, v in values.items()})
-    return _rebuilt(index, others.unionByName(changed, allowMissingColumns=True))
+    mine = stored.filter(F.col("doc_id") == what) if isinstance(what, int) else stored.join(Searcher(index).hits(what).select("doc_id"), "doc_id", "left_semi")
+    mine = materialise(mine, "updated")
+    changed = values(mine) if callable(values) else mine.withColumns({k: F.lit(v) for k, v in values.items()})
+    return _appended(index, changed, mine.select("doc_id"))
 
 
-def merge(indexes: list[Index]) -> Index:
-    """One index with the live documents of several. Doc_ids of later ones are moved up where they would clash with earlier ones.
+def _write_merged(indexes: list[Index], path: str, after: int | None = None) -> None:
+    """One segment with the live documents of several indexes; doc_ids are moved up where they would clash with earlier ones or reach no higher than `after`.
 
     Postings and norms are taken over as they are, without analysing any text again; the dictionary is counted anew.
     """
-    first = indexes[0]
-    path = fresh_path(first.spark, "index")
-    shift, top, parts = [], -1, []
+    shift, top = [], after
     for ix in indexes:
-        low, high = ix.spark.read.parquet(f"{ix.path}/stored").agg(F.min("doc_id"), F.max("doc_id")).first()
-        by = top + 1 - low if low is not None and low <= top else 0
+        low, high = ix.stored().agg(F.min("doc_id"), F.max("doc_id")).first()
+        by = top + 1 - low if low is not None and top is not None and low <= top else 0
         shift.append(by)
-        top = max(top, (high if high is not None else -1) + by)
-        parts.append(ix)
+        top = top if high is None else high + by if top is None else max(top, high + by)
 
     def together(of: Callable[[Index], DataFrame]) -> DataFrame:
         out = None
-        for ix, by in zip(parts, shift, strict=True):
+        for ix, by in zip(indexes, shift, strict=True):
             moved = of(ix).withColumn("doc_id", (F.col("doc_id") + by).cast("long"))
             out = moved if out is None else out.unionByName(moved, allowMissingColumns=True)
         return out
 
-    order = ("field", "term", "doc_id")
-    together(Index.stored).write.parquet(f"{path}/stored")
-    together(Index.postings).repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{path}/postings")
+    together(Index.stored).repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{path}/stored")
+    together(Index.postings).repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).write.parquet(f"{path}/postings")
     together(lambda ix: ix.norms().drop("norm")).write.parquet(f"{path}/norms")
-    postings = replace(first, path=path, tombstones=None).postings()
-    postings.groupBy("field", "term").agg(F.count("*").alias("df")).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{path}/terms")
-    return replace(first, path=path, tombstones=None)
+    write_dictionary(indexes[0].spark.read.schema(POSTINGS).parquet(f"{path}/postings"), path)
+
+
+def merge(indexes: list[Index]) -> Index:
+    """One index of one segment with the live documents of several."""
+    first = indexes[0]
+    path = fresh_path(first.spark, "index")
+    _write_merged(indexes, path)
+    return replace(first, segments=(path,), tombstones=None, own_norms=None, root=None, version=None)
 
 
 def compact(index: Index) -> Index:
@@ -131,63 +146,63 @@ def compact(index: Index) -> Index:
     return merge([index])
 
 
-def persist(index: Index, path: str, append: bool = False) -> Index:
-    """The index at a path of your own; append: after what is there already."""
-    source = merge([Index.open(index.spark, path, index.schema), index]) if append else index
-    if append:
-        source = merge([source])
-    for name, df in (("stored", source.stored()), ("postings", source.postings()), ("terms", source.terms()), ("norms", source.norms().drop("norm"))):
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-    return Index.open(index.spark, path, index.schema)
-
-
-def set_norm(index: Index, doc_id: int, field: str, value: float | int) -> DataFrame:
-    """The norms table with one document's norm replaced: a float is encoded, an int is the byte itself."""
-    byte = value if isinstance(value, int) else encode_norm(value)
-    mine = (F.col("doc_id") == doc_id) & (F.col("field") == field)
-    return index.norms().drop("norm").withColumn("norm_byte", F.when(mine, F.lit(byte)).otherwise(F.col("norm_byte")))
-
-
-def apply_changes(index: Index, changes: DataFrame) -> Index:
-    """A change feed: rows with `op` 'upsert' or 'delete' and the document's columns; the last of a key (by doc_id) counts."""
-    last = _last_of_each(index, changes)
-    key = index.schema.key
-    gone = last.select(F.lower(F.col(key).cast("string")).alias("_k"))
-    kept = index.stored().withColumn("_k", F.lower(F.col(key).cast("string"))).join(gone, "_k", "left_anti").drop("_k")
-    return _rebuilt(index, kept.unionByName(last.filter("op = 'upsert'").drop("op"), allowMissingColumns=True))
-
-
-def choose_merge(sizes: list[int], factor: int = 10, least: int = 10, most: int = 2**31 - 1) -> list[int] | None:
-    """Which segments a logarithmic policy merges next: the last ones below a level, once they are enough to fill it; None if none.
-
-    Levels are least, least * factor and so on up to most; sizes are documents a segment, oldest first.
-    """
+def segments_to_merge(sizes: list[int], factor: int = 10, least: int = 10) -> int | None:
+    """From which segment on all are merged into one, or None: the last ones below a level (least, least * factor, ...), once they
+    fill it. sizes: documents a segment, oldest first. So a document is rewritten about as often as the number of levels."""
     level = least
-    while level <= most:
+    while level <= factor * max(sum(sizes), least):
         first = len(sizes)
         while first > 0 and sizes[first - 1] < level:
             first -= 1
         if len(sizes) - first > 1 and sum(sizes[first:]) >= level:
-            return list(range(first, len(sizes)))
+            return first
         level *= factor
     return None
 
 
-class Registry:
-    """Snapshots by name; what is looked up later is the newest that was put."""
+def _merged_by_size(index: Index) -> Index:
+    if len(index.segments) < MERGE_FROM:
+        return index
+    sizes = [index.spark.read.parquet(f"{p}/stored").count() for p in index.segments]
+    first = segments_to_merge(sizes)
+    if first is None:
+        return index
+    tombstones = index.tombstones
+    if tombstones is not None:  # those of the merged segments, with places counted from the first of them
+        late = tombstones.withColumn("below", F.col("below") - first).filter("below > 0")
+    path = fresh_path(index.spark, "index")
+    _write_merged([replace(index, segments=index.segments[first:], tombstones=late if tombstones is not None else None)], path)
+    if tombstones is not None:
+        tombstones = tombstones.withColumn("below", F.least("below", F.lit(first))).filter("below > 0")
+    return replace(index, segments=(*index.segments[:first], path), tombstones=tombstones)
 
-    def __init__(self) -> None:
-        self._by_name: dict[str, Index] = {}
 
-    def put(self, name: str, index: Index) -> Index:
-        self._by_name[name] = index
-        return index
+def persist(index: Index, path: str, append: bool = False) -> Index:
+    """The index at a folder of your own; append: after what is there already.
 
-    def get(self, name: str) -> Index | None:
-        return self._by_name.get(name)
+    The live documents are written as a new segment and then a version that names the segments, so a lost job leaves the version before.
+    """
+    spark = index.spark
+    before = newest_version(spark, path) if append else None
+    names = before[1] if before else []
+    top = Index.open(spark, path, index.schema).read("stored", live=False).agg(F.max("doc_id")).first()[0] if names else None
+    name = fresh_path(spark, "segment").rsplit("/", 1)[1]
+    _write_merged([index], f"{path}/{name}", top)
+    write_version(spark, path, [*names, name])
+    return Index.open(spark, path, index.schema).with_similarity(index.similarity)
+
+
+def set_norm(index: Index, doc_id: int, field: str, value: float | int) -> Index:
+    """One document's norm replaced: a float is encoded, an int is the byte itself. Searches use it from then on."""
+    byte = value if isinstance(value, int) else encode_norm(value)
+    mine = index.spark.createDataFrame([(doc_id, field, byte)], "doc_id long, field string, norm_byte int")
+    if index.own_norms is not None:
+        mine = index.own_norms.filter((F.col("doc_id") != doc_id) | (F.col("field") != field)).unionByName(mine)
+    return replace(index, own_norms=materialise(mine, "norms"))
 
-    def is_latest(self, name: str, index: Index) -> bool:
-        return self._by_name.get(name) is index
 
-    def names(self) -> list[str]:
-        return sorted(self._by_name)
+def apply_changes(index: Index, changes: DataFrame) -> Index:
+    """A change feed: rows with `op` 'upsert' or 'delete' and the document's columns; the last of a key (by doc_id) counts."""
+    last = materialise(_last_of_each(index, changes), "changes")
+    gone = _with_key(index, last.select(_key(index).alias("_k")))
+    return _appended(index, last.filter("op = 'upsert'").drop("op"), gone)

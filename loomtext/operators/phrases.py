@@ -29,26 +29,27 @@ def word_runs(df: DataFrame, text: str, key: str, stop_words: list[str] | None =
     return rows.filter(is_word(F.col("word"), analysis.stop_words() if stop_words is None else stop_words))
 
 
-def repeated_phrases(text: str, most_words: int, stop: frozenset[str]) -> list[tuple[str, int, int, bool]]:
-    """(phrase, words, n, redundant) of one text; phrases grow by a word a round, and only at places whose phrase repeats."""
+def repeated_phrases(text: str, stop: frozenset[str], most_words: int | None = None) -> list[tuple[str, int, int, bool]]:
+    """(phrase, words, n, redundant) of one text; phrases grow by a word a round, at places whose phrase repeats, until none does."""
     image = [x if x.isalpha() and x.lower() not in stop else None for x in _TOKENS.findall(text) if x != " "]
     now = {i: w for i, w in enumerate(image) if w is not None}
     found: list[tuple[str, int, int]] = []
-    for n in range(2, most_words + 1):
+    n = 1
+    while now and n != most_words:
+        n += 1
         grown = {i: f"{p} {w}" for i, p in now.items() if i + n <= len(image) and (w := image[i + n - 1]) is not None and w != image[i]}
         counts = Counter(grown.values())
         now = {i: p for i, p in grown.items() if counts[p] > 1}
-        if not now:
-            break
         found += [(p, n, c) for p, c in counts.items() if c > 1]
     found.sort(key=lambda f: (f[0].lower(), f[0]))
-    return [(p, n, c, k + 1 < len(found) and found[k + 1][0].startswith(p + " ") and found[k + 1][2] == c) for k, (p, n, c) in enumerate(found)]
+    return [(p, n, c, k + 1 < len(found) and found[k + 1][0].lower().startswith(p.lower()) and found[k + 1][2] == c) for k, (p, n, c) in enumerate(found)]
 
 
-def text_phrases(df: DataFrame, text: str, key: str = "doc_id", most_words: int = 8, stop_words: list[str] | None = None, drop_redundant: bool = False) -> DataFrame:
+def text_phrases(df: DataFrame, text: str, key: str = "doc_id", most_words: int | None = None, stop_words: list[str] | None = None, drop_redundant: bool = False) -> DataFrame:
     """(key, phrase, words, n, redundant): n-grams of two words or more that a text has at least twice.
 
-    A phrase doesn't hold its first word again. redundant: the next phrase in order begins with it and occurs as often.
+    A phrase doesn't hold its first word again, and is as long as its repetition unless most_words is given. redundant: the next phrase in order
+    begins with it, without case, and occurs as often.
     Repetition is a matter of one text, so texts are counted where they lie: an exchange of all n-grams, which built-in
     functions would need for each length, is spared.
     """
@@ -59,7 +60,7 @@ def text_phrases(df: DataFrame, text: str, key: str = "doc_id", most_words: int
         for b in batches:
             keys, out = [], []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = repeated_phrases(t, most_words, stop) if t else []
+                rows = repeated_phrases(t, stop, most_words) if t else []
                 keys += [k] * len(rows)
                 out += rows
             columns = list(zip(*out, strict=True)) if out else [[], [], [], []]

@@ -12,7 +12,11 @@ from loomtext.functions.scalars import float_value, int_value
 from loomtext.operators.index import Index
 from loomtext.plans.parser import Parser, ParseResult, Sort, SortField
 from loomtext.plans.planner import Planner
-from loomtext.plans.query import Boolean, Clause, KeyTerm, MatchAll, Query, Term, Wildcard, extract_terms, rewrite
+from loomtext.plans.query import Boolean, Clause, KeyTerm, MatchAll, Phrase, Query, Term, Wildcard, extract_terms, rewrite
+
+
+#: Pages up to this many hits are fetched by number.
+MOST_IDS = 1000
 
 
 @dataclass(frozen=True)
@@ -71,7 +75,13 @@ class Searcher:
         """A page with the chosen fields (of the query string, or all stored ones), by rank."""
         chosen = fields or (self.parse(query).fields if isinstance(query, str) else ()) or tuple(self.index.schema.names("stored"))
         page = self.search(query, **options)
-        return page.join(self.index.stored().select("doc_id", *chosen), "doc_id").orderBy("rank")
+        found = page.limit(MOST_IDS + 1).collect()
+        if len(found) > MOST_IDS:
+            return page.join(self.index.stored().select("doc_id", *chosen), "doc_id").orderBy("rank")
+        # a page of known size: its numbers go to the scan of the documents, which lie in order of doc_id
+        rows = self.index.spark.createDataFrame([tuple(r) for r in found], page.schema)
+        stored = self.index.stored().filter(F.col("doc_id").isin([r["doc_id"] for r in found])) if found else self.index.stored().filter(F.lit(False))
+        return stored.select("doc_id", *chosen).join(F.broadcast(rows), "doc_id").select("doc_id", "score", "rank", *chosen).orderBy("rank")
 
     def each(self, query: str | Query, **options) -> Iterator[Row]:
         """One hit after another; stop whenever enough have come."""
@@ -109,6 +119,11 @@ def wildcard_query(field: str, pattern: str) -> Query:
     return MatchAll() if pattern == "*" else Wildcard(field, pattern)
 
 
+def phrase_in_class_query(kind: str, field: str, words: str) -> Query:
+    """Objects of a class that hold the words as a phrase in a field."""
+    return Boolean.of(must=[Term("class", kind.lower()), Phrase.of(field, words.lower().split())])
+
+
 def class_query(kind: str, words: str) -> str:
     """A query string for objects of a class with all the words."""
     return f"+class:{kind} " + " ".join(f"+{w}" for w in words.split())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timezone
 from functools import reduce
 
@@ -10,11 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions.scalars import YYYY_MM_DD, date_value, float_value, int_value, literal_prefix, parse_query_date, wildcard_position, wildcard_regex
+from loomtext.functions.similarity import Similarity, decode_norm_column
 from loomtext.plans.query import Boolean, Fuzzy, KeyTerm, MatchAll, Nothing, Phrase, Query, Range, Regex, Term, TypedRange, TypedTerm, Wildcard, rewrite
 
 MULTI = (Wildcard, Regex, Range, Fuzzy)
 
 
+def _norm() -> Column:
+    """The posting's length norm; fields without norms count as 1."""
+    return F.coalesce(decode_norm_column(F.col("norm_byte")), F.lit(1.0))
+
+
 def dictionary_predicate(q: Query) -> Column:
     """The dictionary terms that a multi-term query stands for. Prefixes and bounds are comparisons that reach the Parquet scan."""
     t, mine = F.col("term"), F.col("field") == q.field
@@ -38,13 +45,14 @@ def dictionary_predicate(q: Query) -> Column:
 
 def typed_predicate(index, q: TypedRange | TypedTerm) -> Column:
     f = index.schema[q.field]
-    c = F.col(q.field).cast("string")
-    if q.type == "int":
-        value, read = int_value(c), lambda s: F.lit(int(s))
+    c, kind = F.col(q.field).cast("string"), index.field_kind(q.field)
+    native = kind in ("byte", "short", "integer", "long", "float", "double") or kind.startswith("decimal")
+    if q.type == "int":  # numbers are compared as they are, which the scan can do; digits are looked for in text only
+        value, read = F.col(q.field) if native else int_value(c), lambda s: F.lit(int(s))
     elif q.type == "float":
-        value, read = float_value(c), lambda s: F.lit(float(s))
+        value, read = F.col(q.field) if native else float_value(c), lambda s: F.lit(float(s))
     else:
-        if index.field_kind(q.field) in ("date", "timestamp", "timestamp_ntz"):
+        if kind in ("date", "timestamp", "timestamp_ntz"):
             value = F.col(q.field).cast("timestamp")
         else:
             value = date_value(c, f.form or YYYY_MM_DD)
@@ -71,8 +79,8 @@ def typed_predicate(index, q: TypedRange | TypedTerm) -> Column:
     return out
 
 
-def sloppy_frequency(positions: list[list[int]], slop: int) -> float:
-    """Sum of 1 / (1 + d) over the windows that greedy advance of the rearmost term finds within slop. positions: shifted by each term's offset."""
+def sloppy_frequency(positions: list[list[int]], slop: int, weight: Callable[[int], float] = Similarity().sloppy_freq) -> float:
+    """Sum of the weights, 1 / (1 + d) unless given, over the windows that greedy advance of the rearmost term finds within slop. positions: shifted by each term's offset."""
     if not all(positions):
         return 0.0
     heads = [0] * len(positions)
@@ -91,7 +99,7 @@ def sloppy_frequency(positions: list[list[int]], slop: int) -> float:
             now[k] = positions[k][heads[k]]
         d = last - start
         if d <= slop:
-            total += 1 / (1 + d)
+            total += weight(d)
         if over:
             return total
         last = max(last, now[k])
@@ -118,21 +126,32 @@ class Planner:
         return [x for c in q.clauses for x in self._everything(c.query)] if isinstance(q, Boolean) else [q]
 
     def _statistics(self, q: Query) -> None:
-        """max_doc, each named term's document frequency and each multi-term leaf's sum of squared idf: one row, from one pass over the dictionary."""
+        """max_doc, each named term's document frequency and each multi-term leaf's sum of squared idf and bounds: one row, from one
+        pass over the dictionary, kept with the snapshot."""
         leaves = self._everything(q)
-        self.df: dict[tuple[str, str], int] = {}
-        self.multi: dict[Query, float] = {}
         names = sorted({(x.field, x.text) for x in leaves if isinstance(x, Term)} | {(x.field, t) for x in leaves if isinstance(x, Phrase) for t, _ in x.terms})
-        several = [x for x in dict.fromkeys(self._leaves(q)) if isinstance(x, MULTI)]
-        self.n = self.index.max_doc() if names or several or any(isinstance(x, MULTI) for x in leaves) else 0
-        if not names and not several:
-            return
-        tests = [(F.col("field") == f) & (F.col("term") == t) for f, t in names] + [dictionary_predicate(x) for x in several]
+        several = [x for x in dict.fromkeys(leaves) if isinstance(x, MULTI)]
+        self.n = self.index.max_doc() if names or several else 0
+        known = self.index.known
         idf2 = F.pow(self.sim.idf_column(F.col("df"), self.n), F.lit(2.0))
-        sums = [F.sum(F.when(p, F.col("df"))).alias(f"n{i}") for i, p in enumerate(tests[: len(names)])] + [F.sum(F.when(p, idf2)).alias(f"s{i}") for i, p in enumerate(tests[len(names) :])]
-        row = self.index.terms().filter(reduce(Column.__or__, tests)).agg(*sums).first()
-        self.df = {name: row[f"n{i}"] or 0 for i, name in enumerate(names)}
-        self.multi = {x: row[f"s{i}"] or 0.0 for i, x in enumerate(several)}
+        tests, sums, keys = [], [], []
+        for name in names:
+            if name not in known:
+                p = (F.col("field") == name[0]) & (F.col("term") == name[1])
+                tests.append(p)
+                sums.append(F.coalesce(F.sum(F.when(p, F.col("df"))), F.lit(0)))
+                keys.append(name)
+        for x in several:
+            if (x, self.sim) not in known:
+                p = dictionary_predicate(x)
+                tests.append(p)
+                sums.append(F.struct(F.coalesce(F.sum(F.when(p, idf2)), F.lit(0.0)), F.min(F.when(p, F.col("term"))), F.max(F.when(p, F.col("term")))))
+                keys.append((x, self.sim))
+        if tests:
+            row = self.index.terms().filter(reduce(Column.__or__, tests)).agg(*[c.alias(f"n{i}") for i, c in enumerate(sums)]).first()
+            known.update(zip(keys, row, strict=True))
+        self.df = {name: known[name] for name in names}
+        self.multi = {x: tuple(known[x, self.sim]) for x in several}
 
     def _idf(self, field: str, text: str) -> float:
         return self.sim.idf(self.df[field, text], self.n)
@@ -145,18 +164,11 @@ class Planner:
         if isinstance(q, Phrase):
             return (sum(self._idf(q.field, t) for t, _ in q.terms) * q.boost) ** 2
         if isinstance(q, MULTI):
-            return self.multi[q] * q.boost**2
+            return self.multi[q][0] * q.boost**2
         return 0.0 if isinstance(q, Nothing) else 1.0
 
     # --- plans ---
 
-    def _with_norm(self, hits: DataFrame, field: str) -> DataFrame:
-        f = self.index.schema[field]
-        if f.index == "no_norms":
-            return hits.withColumn("norm", F.lit(1.0))
-        norms = self.index.norms().filter(F.col("field") == field).select("doc_id", "norm")
-        return hits.join(norms, "doc_id", "left").withColumn("norm", F.coalesce("norm", F.lit(1.0)))
-
     def _score(self, q: Query, norm: float) -> DataFrame:
         return getattr(self, f"_{type(q).__name__.lower()}")(q, norm)
 
@@ -181,18 +193,20 @@ class Planner:
         if not self.df.get((q.field, q.text)):
             return self._none()
         idf = self._idf(q.field, q.text)
-        hits = self.index.postings().filter((F.col("field") == q.field) & (F.col("term") == q.text)).select("doc_id", "tf")
+        hits = self.index.postings().filter((F.col("field") == q.field) & (F.col("term") == q.text))
         value = idf * idf * q.boost * norm
-        return self._with_norm(hits, q.field).select("doc_id", (self.sim.tf(F.col("tf")) * F.lit(value) * F.col("norm")).alias("score"))
+        return hits.select("doc_id", (self.sim.tf(F.col("tf")) * F.lit(value) * _norm()).alias("score"))
 
     def _multi(self, q: Query, norm: float) -> DataFrame:
         idf = self.sim.idf_column(F.col("df"), self.n)
         terms = self.index.terms().filter(dictionary_predicate(q)).select("term", (idf * idf * F.lit(q.boost * norm)).alias("value"))
-        hits = self.index.postings().filter(F.col("field") == q.field)
-        if isinstance(q, (Wildcard, Regex, Range)):
-            hits = hits.filter(dictionary_predicate(q))
-        summed = hits.select("term", "doc_id", "tf").join(terms, "term").groupBy("doc_id").agg(F.sum(self.sim.tf(F.col("tf")) * F.col("value")).alias("value"))
-        return self._with_norm(summed, q.field).select("doc_id", (F.col("value") * F.col("norm")).alias("score"))
+        low, high = self.multi[q][1:]
+        if low is None:
+            return self._none()
+        hits = self.index.postings().filter(dictionary_predicate(q) & (F.col("term") >= low) & (F.col("term") <= high))
+        value = self.sim.tf(F.col("tf")) * F.col("value")
+        summed = hits.select("term", "doc_id", "tf", "norm_byte").join(terms, "term").groupBy("doc_id").agg(F.sum(value).alias("value"), F.any_value("norm_byte").alias("norm_byte"))
+        return summed.select("doc_id", (F.col("value") * _norm()).alias("score"))
 
     _wildcard = _regex = _range = _fuzzy = _multi
 
@@ -206,31 +220,31 @@ class Planner:
             freq = self._exact(rows, q)
         else:
             freq = self._sloppy(rows, q)
-        return self._with_norm(freq, q.field).select("doc_id", (F.sqrt("freq") * value * F.col("norm")).alias("score"))
+        return freq.select("doc_id", (self.sim.tf(F.col("freq")) * value * _norm()).alias("score"))
 
     def _exact(self, rows: DataFrame, q: Phrase) -> DataFrame:
         """Each occurrence of a term proposes where the phrase would begin; places that all terms propose are counted. One exchange."""
         wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("t"), F.lit(o).alias("o")) for i, (t, o) in enumerate(q.terms)])
         mine = rows.filter(F.col("term").isin(*{t for t, _ in q.terms}))
-        claims = mine.select("doc_id", "positions", F.explode(F.filter(wanted, lambda w: w["t"] == F.col("term"))).alias("w"))
-        sets = claims.select("doc_id", F.col("w.i").alias("i"), F.transform("positions", lambda p: p - F.col("w.o")).alias("at"))
+        claims = mine.select("doc_id", "norm_byte", "positions", F.explode(F.filter(wanted, lambda w: w["t"] == F.col("term"))).alias("w"))
+        sets = claims.select("doc_id", "norm_byte", F.col("w.i").alias("i"), F.transform("positions", lambda p: p - F.col("w.o")).alias("at"))
         each = [F.max(F.when(F.col("i") == i, F.col("at"))).alias(f"p{i}") for i in range(len(q.terms))]
-        together = sets.groupBy("doc_id").agg(*each).dropna()
+        together = sets.groupBy("doc_id").agg(F.any_value("norm_byte").alias("norm_byte"), *each).dropna(subset=[f"p{i}" for i in range(len(q.terms))])
         common = reduce(F.array_intersect, [F.col(f"p{i}") for i in range(len(q.terms))])
-        return together.select("doc_id", F.size(common).alias("freq")).filter("freq > 0")
+        return together.select("doc_id", "norm_byte", F.size(common).alias("freq")).filter("freq > 0")
 
     def _sloppy(self, rows: DataFrame, q: Phrase) -> DataFrame:
         mine = rows.filter(F.col("term").isin(*{t for t, _ in q.terms}))
         each = [F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"p{i}") for i, (t, _) in enumerate(q.terms)]
-        together = mine.groupBy("doc_id").agg(*each).dropna()
+        together = mine.groupBy("doc_id").agg(F.any_value("norm_byte").alias("norm_byte"), *each).dropna(subset=[f"p{i}" for i in range(len(q.terms))])
         # an offset is part of the expression, as a second parameter of the function would be the place in the array
         places = F.array(*[F.expr(f"transform(p{i}, p -> p - {o})") for i, (_, o) in enumerate(q.terms)])
-        slop = q.slop
+        slop, weight = q.slop, self.sim.sloppy_freq
 
         def run(batch: pd.Series) -> pd.Series:
-            return batch.map(lambda ps: sloppy_frequency([list(p) for p in ps], slop))
+            return batch.map(lambda ps: sloppy_frequency([list(p) for p in ps], slop, weight))
 
-        return together.select("doc_id", F.pandas_udf(run, "double")(places).alias("freq")).filter("freq > 0")
+        return together.select("doc_id", "norm_byte", F.pandas_udf(run, "double")(places).alias("freq")).filter("freq > 0")
 
     def _boolean(self, q: Boolean, norm: float) -> DataFrame:
         """Clauses in one union, one aggregate a document: all required there, none prohibited, an optional one if none is required."""

@@ -13,30 +13,37 @@ from loomtext.functions.stopwords import ENGLISH
 from loomtext.operators import abstracts, documents, highlight, maintenance, phrases
 from loomtext.operators.index import FieldDef, Index, Schema
 from loomtext.operators.search import Searcher
-from loomtext.plans import planner
 from loomtext.plans.parser import Sort, SortField
 from loomtext.plans.query import Boolean, Fuzzy, MatchAll, Phrase, Range, Regex, Term, TypedRange, TypedTerm, Wildcard
 from loomtext.sources import files
+from loomtext.sources.storage import file_system, fresh_path, spread
+from loomtext.streaming.append import start_indexing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 SCHEMA = Schema((FieldDef("text"), FieldDef("source", index="untokenized"), FieldDef("lang", index="untokenized")), analyzer="lowercase", key="source")
-_OPEN: dict[tuple[str, str], Index] = {}
+_OPEN: dict[tuple, Index] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def index_of(spark: SparkSession, sf_dir: str) -> Index:
-    """The index over documents; built once in a session for each folder, as a search engine's index is."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _opened(spark: SparkSession, sf_dir: str, name: str, make: Callable[[DataFrame], Index], tag: str = "") -> Index:
+    """An index over a table: built once in a session for each state of the table's files, as a search engine's index is."""
+    path, fs = file_system(spark, f"{sf_dir}/{name}.parquet")
+    state = fs.getFileStatus(path).getModificationTime(), fs.getContentSummary(path).getLength()
+    key = (spark.sparkContext.applicationId, sf_dir, name, tag, state)
     if key not in _OPEN:
-        _OPEN[key] = Index.build(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), SCHEMA)
+        _OPEN[key] = make(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
     return _OPEN[key]
 
 
+def index_of(spark: SparkSession, sf_dir: str) -> Index:
+    return _opened(spark, sf_dir, "documents", lambda df: Index.build(df.select("doc_id", "text", "source", "lang"), SCHEMA))
+
+
 def query(name: str, sql: str | None = None):
     def register(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = f
@@ -89,8 +96,8 @@ def bool_sql(must: list[str] = (), should: list[str] = (), must_not: list[str] =
     return f"WITH {POSTINGS}, {parts} SELECT x.doc_id, round({score}, 6) AS score FROM documents x {joins} WHERE {test}{gone}"
 
 
-def hits(spark: SparkSession, sf_dir: str, q, **options) -> DataFrame:
-    return Searcher(index_of(spark, sf_dir)).hits(q, **options).select("doc_id", F.round("score", 6).alias("score"))
+def hits(spark: SparkSession, sf_dir: str, q, index: Index | None = None, **options) -> DataFrame:
+    return Searcher(index or index_of(spark, sf_dir)).hits(q, **options).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def page(spark: SparkSession, sf_dir: str, q, **options) -> DataFrame:
@@ -197,7 +204,13 @@ def tok_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(t).alias("position", "t")).select("doc_id", "position", "t.image", "t.type")
 
 
-@query("tok_offsets")
+_OFFSETS = """WITH a AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[a-zA-Z]+') AS t, regexp_split_to_array(coalesce(text, ''), '[a-zA-Z]+') AS g FROM documents),
+r AS (SELECT doc_id, unnest(t) AS image, unnest(range(len(t))) AS position, unnest(g[1:len(t)]) AS gap FROM a),
+e AS (SELECT doc_id, position, image, sum(length(gap) + length(image)) OVER (PARTITION BY doc_id ORDER BY position) AS stop FROM r)
+SELECT doc_id, CAST(position AS INTEGER) AS position, lower(image) AS image, CAST(stop - length(image) AS INTEGER) AS start, CAST(stop AS INTEGER) AS end, 'word' AS type FROM e"""
+
+
+@query("tok_offsets", _OFFSETS)
 def tok_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.offsets(table(spark, sf_dir, "documents"), "text", analysis.lowercase)
 
@@ -264,9 +277,11 @@ def document_with_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_of(spark, sf_dir).document_with("source", "src3").select("doc_id", "source")
 
 
-@query("index_counts", "SELECT count(*) AS max_doc, count(*) AS num_docs FROM documents")
+@query("index_counts", f"WITH {POSTINGS} SELECT count(*) AS max_doc, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM p WHERE term = 'thanon')) AS num_docs FROM documents")
 def index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index_of(spark, sf_dir).stored().agg(F.count("*").alias("max_doc"), F.count("*").alias("num_docs"))
+    """After a deletion: all documents, and the live ones."""
+    ix = maintenance.delete(index_of(spark, sf_dir), Term("text", "thanon"))
+    return spark.createDataFrame([(ix.max_doc(), ix.num_docs())], "max_doc long, num_docs long")
 
 
 # --- queries -----------------------------------------------------------------------------------------------------------
@@ -353,42 +368,46 @@ def q_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(spark, sf_dir, MatchAll())
 
 
-def _typed(spark: SparkSession, sf_dir: str, name: str, key: str, fields: tuple[FieldDef, ...], q) -> DataFrame:
-    """Typed queries read stored columns only, so the index is the table itself."""
-    source = table(spark, sf_dir, name).withColumnRenamed(key, "doc_id")
-
-    found = source.filter(planner.typed_predicate(_TypedIndex(source, Schema(fields)), q))
-    return found.select("doc_id", F.lit(1.0).alias("score"))
-
+def _typed(spark: SparkSession, sf_dir: str, name: str, columns: dict[str, str], kind: str, q: TypedRange | TypedTerm) -> DataFrame:
+    """Typed queries read stored columns only, so the index holds nothing else. columns: names by what the table calls or computes them."""
 
-class _TypedIndex:
-    """Just enough of an index for typed predicates."""
+    def make(df: DataFrame) -> Index:
+        return Index.build(df.selectExpr(*[f"{c} AS {n}" for c, n in columns.items()]), Schema((FieldDef(q.field, index=None, type=kind),)))
 
-    def __init__(self, source: DataFrame, schema: Schema):
-        self.source, self.schema = source, schema
-
-    def field_kind(self, name: str) -> str:
-        return self.source.schema[name].dataType.typeName()
+    return hits(spark, sf_dir, q, index=_opened(spark, sf_dir, name, make, q.field))
 
 
 @query("q_int_range", "SELECT p_partkey AS doc_id, CAST(1 AS DOUBLE) AS score FROM part WHERE p_size >= 10 AND p_size < 20")
 def q_int_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _typed(spark, sf_dir, "part", "p_partkey", (FieldDef("p_size", index=None, type="int"),), TypedRange("p_size", "int", "10", "20", True, False))
+    return _typed(spark, sf_dir, "part", {"p_partkey": "doc_id", "p_size": "p_size"}, "int", TypedRange("p_size", "int", "10", "20", True, False))
+
+
+@query("q_int_range_negative", "SELECT p_partkey AS doc_id, CAST(1 AS DOUBLE) AS score FROM part WHERE p_size - 25 >= -20 AND p_size - 25 <= 5")
+def q_int_range_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _typed(spark, sf_dir, "part", {"p_partkey": "doc_id", "p_size - 25": "distance"}, "int", TypedRange("distance", "int", "-20", "5"))
 
 
 @query("q_float_range", "SELECT o_orderkey AS doc_id, CAST(1 AS DOUBLE) AS score FROM orders WHERE o_totalprice > 100000 AND o_totalprice <= 200000")
 def q_float_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _typed(spark, sf_dir, "orders", "o_orderkey", (FieldDef("o_totalprice", index=None, type="float"),), TypedRange("o_totalprice", "float", "100000", "200000", False, True))
+    return _typed(spark, sf_dir, "orders", {"o_orderkey": "doc_id", "o_totalprice": "o_totalprice"}, "float", TypedRange("o_totalprice", "float", "100000", "200000", False, True))
+
+
+@query("q_float_range_negative", "SELECT c_custkey AS doc_id, CAST(1 AS DOUBLE) AS score FROM customer WHERE c_acctbal >= -500 AND c_acctbal < 250.5")
+def q_float_range_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _typed(spark, sf_dir, "customer", {"c_custkey": "doc_id", "c_acctbal": "c_acctbal"}, "float", TypedRange("c_acctbal", "float", "-500", "250.5", True, False))
+
+
+_DATED = {"o_orderkey": "doc_id", "o_orderdate": "o_orderdate"}
 
 
 @query("q_date_range", "SELECT o_orderkey AS doc_id, CAST(1 AS DOUBLE) AS score FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1997-03-01' AND CAST(o_orderdate AS DATE) < DATE '1998-01-01'")
 def q_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _typed(spark, sf_dir, "orders", "o_orderkey", (FieldDef("o_orderdate", index=None, type="date"),), TypedRange("o_orderdate", "date", "199703", "1997", True, True))
+    return _typed(spark, sf_dir, "orders", _DATED, "date", TypedRange("o_orderdate", "date", "199703", "1997", True, True))
 
 
 @query("q_date_partial", "SELECT o_orderkey AS doc_id, CAST(1 AS DOUBLE) AS score FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1996-12-01' AND CAST(o_orderdate AS DATE) < DATE '1997-01-01'")
 def q_date_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _typed(spark, sf_dir, "orders", "o_orderkey", (FieldDef("o_orderdate", index=None, type="date"),), TypedTerm("o_orderdate", "date", "1996-12"))
+    return _typed(spark, sf_dir, "orders", _DATED, "date", TypedTerm("o_orderdate", "date", "1996-12"))
 
 
 @query("q_filter_semi", f"SELECT * FROM ({bool_sql(should=['thanon'])}) WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")
@@ -396,9 +415,9 @@ def q_filter_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(spark, sf_dir, Term("text", "thanon"), restrict=table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id"))
 
 
-@query("q_score_cutoff", f"SELECT * FROM ({bool_sql(should=['the'])}) WHERE score > 0.05")
+@query("q_score_cutoff", f"WITH {POSTINGS} SELECT doc_id, round(score, 6) AS score FROM ({term_sql('the', 1.0, q_sql(idf_sql('the')))}) WHERE score > 0.05")
 def q_score_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hits(spark, sf_dir, Term("text", "the")).filter("score > 0.05")
+    return hits(spark, sf_dir, Term("text", "the"), cutoff=0.05)
 
 
 @query("q_sort_field", f"WITH h AS ({bool_sql(should=['thanon'])}) SELECT doc_id, source, rank FROM (SELECT doc_id, source, row_number() OVER (ORDER BY source NULLS LAST, doc_id) AS rank FROM h JOIN documents USING (doc_id)) WHERE rank <= 25")
@@ -492,23 +511,81 @@ def multi_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- changes -----------------------------------------------------------------------------------------------------------
 
 
-def _new_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    new = c.filter("c_custkey % 10 = 0").select((F.col("c_custkey") + F.when(F.col("c_custkey") % 20 == 0, 1_000_000).otherwise(0)).alias("c_custkey"), F.concat(F.when(F.col("c_custkey") % 20 == 0, F.lit("New ")).otherwise(F.lit("")), F.upper("c_name")).alias("c_name"))
-    return c, new
+_CUSTOMERS = Schema((FieldDef("c_name"), FieldDef("c_mktsegment", index="untokenized")), analyzer="word", key="c_name")
 
 
-_NEW = "new AS (SELECT c_custkey + CASE WHEN c_custkey % 20 = 0 THEN 1000000 ELSE 0 END AS c_custkey, CASE WHEN c_custkey % 20 = 0 THEN 'New ' ELSE '' END || upper(c_name) AS c_name FROM customer WHERE c_custkey % 10 = 0)"
+def _customers(spark: SparkSession, sf_dir: str) -> tuple[Index, DataFrame]:
+    """The index of customers, and new rows of which half have keys that are there."""
+    index = _opened(spark, sf_dir, "customer", lambda df: Index.build(df.select(F.col("c_custkey").alias("doc_id"), "c_name", "c_mktsegment"), _CUSTOMERS))
+    c = table(spark, sf_dir, "customer").filter("c_custkey % 10 = 0")
+    half = F.col("c_custkey") % 20 == 0
+    new = c.select((F.col("c_custkey") + F.when(half, 1_000_000).otherwise(0)).alias("doc_id"), F.concat(F.when(half, F.lit("New ")).otherwise(F.lit("")), F.upper("c_name")).alias("c_name"), F.lit("new").alias("c_mktsegment"))
+    return index, new
 
 
-@query("upsert_by_key", f"WITH {_NEW} SELECT c_custkey, c_name FROM customer WHERE lower(c_name) NOT IN (SELECT lower(c_name) FROM new) UNION ALL SELECT * FROM new")
+_NEW = """new AS (SELECT c_custkey + CASE WHEN c_custkey % 20 = 0 THEN 1000000 ELSE 0 END AS doc_id,
+CASE WHEN c_custkey % 20 = 0 THEN 'New ' ELSE '' END || upper(c_name) AS c_name, 'new' AS c_mktsegment FROM customer WHERE c_custkey % 10 = 0),
+old AS (SELECT c_custkey AS doc_id, c_name, c_mktsegment FROM customer)"""
+
+
+@query("upsert_by_key", f"WITH {_NEW} SELECT * FROM old WHERE lower(c_name) NOT IN (SELECT lower(c_name) FROM new) UNION ALL SELECT * FROM new")
 def upsert_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maintenance.upsert_rows(*_new_orders(spark, sf_dir), "c_name")
+    return maintenance.upsert(*_customers(spark, sf_dir)).stored().select("doc_id", "c_name", "c_mktsegment")
 
 
-@query("insert_if_absent", f"WITH {_NEW} SELECT c_custkey, c_name FROM customer UNION ALL SELECT * FROM new WHERE lower(c_name) NOT IN (SELECT lower(c_name) FROM customer)")
+@query("insert_if_absent", f"WITH {_NEW} SELECT * FROM old UNION ALL SELECT * FROM new WHERE lower(c_name) NOT IN (SELECT lower(c_name) FROM old)")
 def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maintenance.insert_rows(*_new_orders(spark, sf_dir), "c_name")
+    return maintenance.insert_if_absent(*_customers(spark, sf_dir)).stored().select("doc_id", "c_name", "c_mktsegment")
+
+
+@query("upsert_then_search", f"WITH {_NEW} SELECT doc_id, CAST(1 AS BIGINT) AS tf FROM new")
+def upsert_then_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings of a word that only the replaced and added documents hold."""
+    return maintenance.upsert(*_customers(spark, sf_dir)).term_docs("c_mktsegment", "new")
+
+
+@query("change_feed", f"WITH {_NEW} SELECT * FROM old WHERE lower(c_name) NOT IN (SELECT lower(c_name) FROM new) UNION ALL SELECT * FROM new WHERE doc_id % 3 = 0")
+def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, new = _customers(spark, sf_dir)
+    feed = new.withColumn("op", F.when(F.col("doc_id") % 3 == 0, "upsert").otherwise("delete"))
+    return maintenance.apply_changes(index, feed).stored().select("doc_id", "c_name", "c_mktsegment")
+
+
+_HALVES = f"WITH {POSTINGS} " + page_sql(term_sql("thanon", 1.0, q_sql(idf_sql("thanon"))))
+
+
+@query("add_then_search", _HALVES)
+def add_then_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two segments answer as one: the second half of the documents is added to an index of the first."""
+    middle = table(spark, sf_dir, "documents").agg(F.floor(F.avg("doc_id")).cast("long")).first()[0]
+    first = _opened(spark, sf_dir, "documents", lambda df: Index.build(df.select("doc_id", "text", "source", "lang").filter(F.col("doc_id") <= middle), SCHEMA), "half")
+    rest = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang").filter(F.col("doc_id") > middle)
+    found = Searcher(maintenance.add(first, rest)).search(Term("text", "thanon"))
+    return found.select("doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("stream_then_search", _HALVES)
+def stream_then_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents come as a stream; each micro-batch is a segment."""
+    schema, path = spark.read.parquet(f"{sf_dir}/documents.parquet").schema, fresh_path(spark, "streamed")
+    source = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]").select("doc_id", "text", "source", "lang")
+    start_indexing(source, SCHEMA, path, fresh_path(spark, "stream-checkpoint")).awaitTermination()
+    found = Searcher(Index.open(spark, path, SCHEMA)).search(Term("text", "thanon"))
+    return found.select("doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("persist_and_open", f"WITH {POSTINGS} SELECT term, 2 * df AS df FROM d")
+def persist_and_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persisted, then persisted again behind itself."""
+    index, path = index_of(spark, sf_dir), fresh_path(spark, "persisted")
+    maintenance.persist(index, path)
+    return maintenance.persist(index, path, append=True).terms().filter("field = 'text'").select("term", "df")
+
+
+@query("set_norm", f"WITH {POSTINGS} SELECT doc_id, round(CASE WHEN doc_id = (SELECT min(doc_id) FROM p WHERE term = 'thanon') THEN CAST(2 AS DOUBLE) ELSE norm END, 6) AS norm FROM norm")
+def set_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = index_of(spark, sf_dir)
+    return maintenance.set_norm(index, Searcher(index).doc_number(Term("text", "thanon")), "text", 2.0).norms().filter("field = 'text'").select("doc_id", F.round("norm", 6).alias("norm"))
 
 
 @query("delete_by_query", f"WITH {POSTINGS} SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM p WHERE term = 'thanon')")
@@ -535,33 +612,52 @@ def compact(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- text analytics ------------------------------------------------------------------------------------------------------
 
 
-@query("highlight_terms", r"SELECT doc_id, regexp_replace(text, '(?i)\b(the|erin)\b', '<b>\1</b>', 'g') AS marked FROM documents WHERE lang = 'en'")
+_EDGE = "([^" + _UNICODE_WORD[1:]  # a character beside a word, in an open group
+
+
+@query("highlight_terms", rf"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '{_UNICODE_WORD}+|[^{_UNICODE_WORD[1:]}+'), lambda x: CASE WHEN lower(x) IN ('the', 'erin') THEN '<b>' || x || '</b>' ELSE x END), '') AS marked FROM documents")
 def highlight_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     patterns = highlight.expressions(Boolean.of(should=[Term("text", "the"), Term("text", "erin")]))["text"]
-    return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", highlight.tag(F.col("text"), patterns).alias("marked"))
+    return table(spark, sf_dir, "documents").select("doc_id", highlight.tag(F.col("text"), patterns).alias("marked"))
+
+
+_PRECIS = r"SELECT doc_id, trim(list_filter(regexp_extract_all(text, '[^.;!?,]*[.;!?,]*\s*'), lambda s: {test})[1], ' ' || chr(10)) AS precis FROM documents"
 
 
-@query("precis_first_sentence", r"SELECT doc_id, trim(list_filter(regexp_extract_all(text, '[^.;!?,]*[.;!?,]*\s*'), lambda s: regexp_matches(s, '(?i)\bthe\b'))[1], ' ' || chr(10)) AS precis FROM documents WHERE lang = 'en'")
+def _has_word(words: str) -> str:
+    return rf"regexp_matches(s, '(?i)(^|{_EDGE}))({words})($|{_EDGE}))')"
+
+
+@query("precis_first_sentence", _PRECIS.replace("{test}", _has_word("the")))
 def precis_first_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = highlight.precis(F.col("text"), highlight.expressions(Term("text", "the"))["text"])
-    return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.trim(got, F.lit(" \n")).alias("precis"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.trim(got, F.lit(" \n")).alias("precis"))
+
+
+@query("precis_conditions", _PRECIS.replace("{test}", _has_word("the|erin") + " AND " + _has_word("erin")))
+def precis_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A required word: only stretches that hold it count."""
+    conditions: dict[str, list[str]] = {}
+    patterns = highlight.expressions(Boolean.of(must=[Term("text", "erin")], should=[Term("text", "the")]), conditions)["text"]
+    got = highlight.precis(F.col("text"), patterns, conditions=conditions["text"])
+    return table(spark, sf_dir, "documents").select("doc_id", F.trim(got, F.lit(" \n")).alias("precis"))
 
 
 _WORDS = r"regexp_extract_all(text, '[a-zA-Z0-9]+|[^\p{L}\p{M}\p{Nd}\p{Pc}]')"
 
 
-def _phrases_sql(most: int = 8) -> str:
-    grams = f"""toks AS (SELECT doc_id, unnest(l) AS w, unnest(range(len(l))) AS pos FROM (SELECT doc_id, list_filter({_WORDS}, lambda x: x <> ' ') AS l FROM documents)),
+_PHRASES = f"""WITH RECURSIVE toks AS (SELECT doc_id, unnest(l) AS w, unnest(range(len(l))) AS pos FROM (SELECT doc_id, list_filter({_WORDS}, lambda x: x <> ' ') AS l FROM documents)),
 w AS (SELECT doc_id, pos, w FROM toks WHERE regexp_matches(w, '^[a-zA-Z]+$') AND lower(w) NOT IN ({_STOPS})),
-g1 AS (SELECT doc_id, pos, w AS first, w AS phrase FROM w)"""
-    for n in range(2, most + 1):
-        grams += f",\ng{n} AS (SELECT g.doc_id, g.pos, g.first, g.phrase || ' ' || w.w AS phrase FROM g{n - 1} g JOIN w ON w.doc_id = g.doc_id AND w.pos = g.pos + {n - 1} WHERE w.w <> g.first)"
-    found = " UNION ALL ".join(f"SELECT doc_id, phrase, count(*) AS n FROM g{n} GROUP BY ALL HAVING count(*) > 1" for n in range(2, most + 1))
-    lead = "OVER (PARTITION BY doc_id ORDER BY lower(phrase), phrase)"
-    return f"WITH {grams}, f AS ({found}) SELECT doc_id, phrase, n, coalesce(starts_with(lead(phrase) {lead}, phrase || ' ') AND lead(n) {lead} = n, false) AS redundant FROM f"
+g AS (SELECT doc_id, pos, w AS first, w AS phrase, 1 AS words, CAST(2 AS BIGINT) AS n FROM w
+  UNION ALL SELECT doc_id, pos, first, phrase, words, n FROM (
+    SELECT g.doc_id, g.pos, g.first, g.phrase || ' ' || w.w AS phrase, g.words + 1 AS words, count(*) OVER (PARTITION BY g.doc_id, g.phrase || ' ' || w.w) AS n
+    FROM g JOIN w ON w.doc_id = g.doc_id AND w.pos = g.pos + g.words WHERE w.w <> g.first) WHERE n > 1),
+f AS (SELECT DISTINCT doc_id, phrase, n FROM g WHERE words > 1)
+SELECT doc_id, phrase, n, coalesce(starts_with(lower(lead(phrase) OVER o), lower(phrase)) AND lead(n) OVER o = n, false) AS redundant
+FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY lower(phrase), phrase)"""
 
 
-@query("phrases_repeated", _phrases_sql())
+@query("phrases_repeated", _PHRASES)
 def phrases_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.text_phrases(table(spark, sf_dir, "documents"), "text").select("doc_id", "phrase", "n", "redundant")
 
@@ -574,11 +670,12 @@ def token_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ABSTRACT = f"""WITH toks AS (SELECT doc_id, unnest(l) AS w, unnest(range(len(l))) AS pos FROM (SELECT doc_id, {_WORDS} AS l FROM documents)),
 s AS (SELECT doc_id, w, sum(CASE WHEN w IN ('.', '?', '!', ';') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS sentence FROM toks),
 w AS (SELECT doc_id, sentence, lower(w) AS word FROM s WHERE regexp_matches(w, '^[a-zA-Z]+$') AND lower(w) NOT IN ({_STOPS}) AND length(w) > 1),
-c AS (SELECT w.doc_id, w.word, count(*) AS frequency, count(m.sentence) AS overlap FROM w LEFT JOIN (SELECT DISTINCT doc_id, sentence FROM w WHERE word = 'erin') m ON m.doc_id = w.doc_id AND m.sentence = w.sentence GROUP BY ALL),
+cores AS (SELECT DISTINCT doc_id, sentence FROM w WHERE word = 'erin'),
+c AS (SELECT w.doc_id, w.word, count(*) AS frequency, count(m.sentence) AS overlap FROM w LEFT JOIN cores m ON m.doc_id = w.doc_id AND m.sentence = w.sentence WHERE w.doc_id IN (SELECT doc_id FROM cores) GROUP BY ALL),
 r AS (SELECT *, word = 'erin' AS core, count(*) OVER (PARTITION BY doc_id) AS total, row_number() OVER (PARTITION BY doc_id ORDER BY (word = 'erin') DESC, overlap DESC, word) AS place FROM c),
 l AS (SELECT *, max(CASE WHEN place = 9 THEN overlap END) OVER (PARTITION BY doc_id) AS bound FROM r)
-SELECT doc_id, word, frequency, overlap, round(CASE WHEN core THEN 1 ELSE overlap / CAST(frequency AS DOUBLE) END, 6) AS saturation, core FROM l
-WHERE (total <= 12 AND (core OR overlap > 0)) OR (total > 12 AND place <= 12 AND (core OR overlap >= bound))"""
+SELECT doc_id, word, frequency, CAST(overlap AS BIGINT) AS overlap, round(CASE WHEN core THEN 1 ELSE overlap / CAST(frequency AS DOUBLE) END, 6) AS saturation, core FROM l
+WHERE overlap > 0 AND (total <= 12 OR (place <= 12 AND (core OR overlap >= bound)))"""
 
 
 @query("word_abstract", _ABSTRACT)
@@ -586,6 +683,27 @@ def word_abstract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abstracts.abstract(table(spark, sf_dir, "documents"), "text", "erin").withColumn("saturation", F.round("saturation", 6))
 
 
-@query("word_map")
+def _map_sql() -> str:
+    """One step for each of the eleven words below the core: its candidates are the words that no step before has taken."""
+    sentence = rf"(?i)(^|{_EDGE}))erin($|{_EDGE}))"
+    out = f"""WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^.?!]+')) AS t, unnest(range(len(regexp_extract_all(text, '[^.?!]+')))) AS sentence FROM documents),
+w AS MATERIALIZED (SELECT doc_id, sentence, lower(x) AS word FROM (SELECT doc_id, sentence, unnest({_WORDS.replace('text', 't')}) AS x FROM s WHERE regexp_matches(t, '{sentence}')) WHERE regexp_matches(x, '^[a-zA-Z]+$') AND lower(x) NOT IN ({_STOPS}) AND length(x) > 1),
+total AS MATERIALIZED (SELECT doc_id, word, count(*) AS frequency FROM w GROUP BY ALL),
+t1 AS MATERIALIZED (SELECT doc_id, 'erin' AS parent, 'erin' AS word, count(*) AS overlap, CAST(0 AS BIGINT) AS place FROM w WHERE word = 'erin' GROUP BY doc_id),
+taken1 AS (SELECT * FROM t1)"""
+    for k in range(2, 14):
+        parents = "SELECT doc_id, 'erin' AS parent FROM t1" if k == 2 else f"SELECT doc_id, word AS parent FROM t2 WHERE place = {k - 2}"
+        out += f""",
+p{k} AS ({parents}),
+c{k} AS (SELECT total.doc_id, parent, word FROM total JOIN p{k} USING (doc_id) WHERE word <> parent AND NOT EXISTS (SELECT 1 FROM taken{k - 1} k WHERE k.doc_id = total.doc_id AND k.word = total.word)),
+n{k} AS (SELECT w.doc_id, w.word, count(*) AS overlap FROM w JOIN (SELECT DISTINCT w.doc_id, sentence FROM w JOIN p{k} ON p{k}.doc_id = w.doc_id AND parent = word) m USING (doc_id, sentence) GROUP BY ALL),
+r{k} AS (SELECT c.doc_id, parent, c.word, coalesce(overlap, 0) AS overlap, row_number() OVER (PARTITION BY c.doc_id ORDER BY coalesce(overlap, 0) DESC, c.word) AS place, count(*) OVER (PARTITION BY c.doc_id) AS many FROM c{k} c LEFT JOIN n{k} n ON n.doc_id = c.doc_id AND n.word = c.word),
+l{k} AS (SELECT *, max(CASE WHEN place = 8 THEN overlap END) OVER (PARTITION BY doc_id) AS bound FROM r{k}),
+t{k} AS MATERIALIZED (SELECT doc_id, parent, word, overlap, place FROM l{k} WHERE overlap > 0 AND (many < 12 OR (place < 12 AND overlap >= bound))),
+taken{k} AS MATERIALIZED (SELECT * FROM taken{k - 1} UNION ALL SELECT * FROM t{k})"""
+    return out + " SELECT doc_id, parent, word, CAST(overlap AS BIGINT) AS overlap, round(overlap / CAST(frequency AS DOUBLE), 6) AS saturation FROM taken13 JOIN total USING (doc_id, word)"
+
+
+@query("word_map", _map_sql())
 def word_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abstracts.wordmap(table(spark, sf_dir, "documents"), "text", "erin").withColumn("saturation", F.round("saturation", 6))

@@ -82,3 +82,8 @@ def by_suffix(files: DataFrame) -> DataFrame:
 
 def line_count(text: Column) -> Column:
     return F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, "\n", -1)) - F.when(text.endswith("\n"), 1).otherwise(0))
+
+
+def empty_titles(books: DataFrame, column: str = "title") -> DataFrame:
+    """(documents, empty): how many have no title."""
+    return books.agg(F.count("*").alias("documents"), F.count_if(F.coalesce(F.trim(F.col(column)), F.lit("")) == "").alias("empty"))

@@ -2,12 +2,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtext.functions import scalars as S
+from loomtext.functions.analysis import Token
 from loomtext.operators import abstracts, documents, phrases
 from loomtext.operators.highlight import precis, sentences
 from loomtext.operators.index import FieldDef, Index, Schema
 from loomtext.operators.search import Searcher
 from loomtext.sources import files
-from loomtext.streaming.append import refresh_terms, start_indexing
+from loomtext.streaming.append import start_indexing
 
 
 def one(spark, column, value="x", kind="string"):
@@ -29,11 +30,41 @@ def test_abstract(spark):
     df = spark.createDataFrame([(1, "Acid burns metal. Acid burns. Metal shines; water flows")], "doc_id long, t string")
     got = {r["word"]: (r["frequency"], r["overlap"], r["saturation"], r["core"]) for r in abstracts.abstract(df, "t", "Acid", stop_words=[]).collect()}
     assert got == {"acid": (2, 2, 1.0, True), "burns": (2, 2, 1.0, False), "metal": (2, 1, 0.5, False)}
-    pairs = {(r["parent"], r["word"]): r["overlap"] for r in abstracts.wordmap(df, "t", "acid", stop_words=[]).collect()}
-    assert pairs["metal", "shines"] == 1 and pairs["acid", "burns"] == 2
+    none = spark.createDataFrame([(1, "Metal shines; acids flow"), (2, None), (3, "")], "doc_id long, t string")
+    assert abstracts.abstract(none, "t", "acid", stop_words=[]).isEmpty() and abstracts.wordmap(none, "t", "acid", stop_words=[]).isEmpty()
     assert spark.range(1).select(abstracts.colour(F.lit(1.0), F.lit(False)), abstracts.colour(F.lit(0.0), F.lit(True))).first()[:] == ("#000000", "#ff0000")
 
 
+def test_word_map(spark):
+    """Worked by hand: of thirteen words in the core's sentences the ninth's overlap is 1, so eleven others stay in order of overlap and word."""
+    text = "Core aa bb cc. Core aa bb dd! core aa ee? Other zz core2. core ff gg hh ii jj kk ll mm; nn. gg without"
+    df = spark.createDataFrame([(1, text)], "doc_id long, t string")
+    got = {(r["parent"], r["word"]): (r["overlap"], r["saturation"]) for r in abstracts.wordmap(df, "t", "core", stop_words=[]).collect()}
+    first = ["aa", "bb", "cc", "dd", "ee", "ff", "gg", "hh", "ii", "jj", "kk"]
+    assert {w for p, w in got if p == "core"} == {"core", *first}
+    assert got["core", "core"] == (4, 1.0) and got["core", "aa"] == (3, 1.0) and got["core", "bb"] == (2, 1.0)
+    # ll, mm and nn are left; the first word that shares a sentence with them takes them all
+    assert {(p, w) for p, w in got if p != "core"} == {("ff", "ll"), ("ff", "mm"), ("ff", "nn")}
+
+
+def test_long_phrases(spark):
+    words = " ".join(f"{a}{b}" for a in "abcdefg" for b in "xyz")
+    df = spark.createDataFrame([(1, f"{words}. {words}")], "doc_id long, t string")
+    got = {r["phrase"]: r["words"] for r in phrases.text_phrases(df, "t", stop_words=[]).collect()}
+    assert got[words] == 21 and len(got) == 20 * 21 // 2
+    assert max(r["words"] for r in phrases.text_phrases(df, "t", stop_words=[], most_words=3).collect()) == 3
+    rows = {r["phrase"]: r["redundant"] for r in phrases.text_phrases(spark.createDataFrame([(1, "go on. go on. go one. go one")], "doc_id long, t string"), "t", stop_words=[]).collect()}
+    assert rows == {"go on": True, "go one": False}
+
+
+def test_small_items(spark):
+    df = spark.createDataFrame([(1, "a"), (2, " "), (3, None)], "n int, title string")
+    assert files.empty_titles(df).first()[:] == (3, 2)
+    assert one(spark, S.universal_time_text, S.UNIVERSAL_TO_UNIX + 86400, "long") == "1970-01-02 00:00:00"
+    a, b = Token("b", 0, 3), Token("a", 2, 3, "x")
+    assert a < b and sorted([b, a]) == [a, b] and Token("a", 2, 3) == b
+
+
 def test_sentences(spark):
     assert one(spark, sentences, "One. Two? Three") == ["One. ", "Two? ", "Three"]
     assert one(spark, lambda c: precis(c, [r"\bfox\b"]), "A cat, a fox; b") == "a fox;"
@@ -113,7 +144,8 @@ def test_streaming(spark, tmp_path):
     start()
     spark.createDataFrame([(3, "red dog")], "doc_id long, t string").write.mode("append").parquet(source)
     start()
-    ix = refresh_terms(Index.open(spark, path, schema))
+    ix = Index.open(spark, path, schema)
+    assert ix.doc_freq("t", "red") == 2 and len(ix.segments) == 2
     whole = Index.build(spark.read.parquet(source), schema)
     get = lambda i: sorted(map(tuple, Searcher(i, "t").hits("t:red t:fox").collect()))
     assert get(ix) == get(whole) and len(get(ix)) == 3

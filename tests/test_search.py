@@ -1,15 +1,16 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomtext.functions.similarity import decode_norm, encode_norm
 from loomtext.operators import maintenance as M
 from loomtext.operators.highlight import annotated_documents
-from loomtext.operators.index import FieldDef, Index, Schema
+from loomtext.operators.index import FieldDef, Index, Schema, index_of_term, indexes_of_terms
 from loomtext.operators.search import Searcher
 from loomtext.plans.parser import Sort, SortField
 from loomtext.plans.planner import sloppy_frequency
-from loomtext.plans.query import Boolean, Fuzzy, Phrase, Regex, Term, TypedTerm
+from loomtext.plans.query import Boolean, Fuzzy, Phrase, Regex, Term, TypedRange, TypedTerm
 
 # The eighteen documents of the search fixture.
 CORPUS = [
@@ -136,7 +137,7 @@ def test_changes(spark, index):
     assert both.max_doc() == 36 and ids(s(both).hits("field:fast")) == [8, 26]
     new = spark.createDataFrame([(100, "20051005", "wolf", "x", 1.0), (101, "20990101", "wolf", "y", 1.0)], "doc_id long, date string, field string, cat string, boost double")
     up, ins = M.upsert(index, new), M.insert_if_absent(index, new)
-    assert ids(s(up).hits("field:wolf")) == [100, 101] and up.max_doc() == 19
+    assert ids(s(up).hits("field:wolf")) == [100, 101] and up.num_docs() == 19 and up.max_doc() == 20
     assert ids(s(ins).hits("field:wolf")) == [101] and ins.max_doc() == 19
     more = M.add(index, new)
     assert ids(s(more).hits("field:wolf")) == [100, 101] and more.max_doc() == 20
@@ -185,6 +186,24 @@ def test_typed(spark):
     assert ids(s.hits("d:2015")) == [1, 2]
 
 
+def test_numbers_are_compared_as_they_are(spark):
+    docs = spark.createDataFrame([(1, -5, -0.5), (2, 5, 0.5), (3, None, None)], "doc_id long, n int, x double")
+    s = Searcher(Index.build(docs, Schema((FieldDef("n", index=None, type="int"), FieldDef("x", index=None, type="float")))), "n")
+    negative = s.hits(TypedRange("n", "int", "-10", "0"))
+    assert ids(negative) == [1] and ids(s.hits(TypedRange("n", "int", "0", None))) == [2] and ids(s.hits(TypedTerm("n", "int", "-5"))) == [1]
+    assert ids(s.hits(TypedRange("x", "float", "-1", "0"))) == [1]
+    plan = negative._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(n,-10)" in plan and "LessThanOrEqual(n,0)" in plan
+
+
+def test_vector_lookup_and_offsets(spark):
+    docs = spark.createDataFrame([(1, "red fox red"), (2, "x")], "doc_id long, t string")
+    ix = Index.build(docs, Schema((FieldDef("t", term_vector="positions_offsets"),), analyzer="lowercase"))
+    v = ix.term_vector("t", 1)
+    assert [(t["term"], [tuple(o) for o in t["offsets"]]) for t in v.first()["terms"]] == [("fox", [(4, 7)]), ("red", [(0, 3), (8, 11)])]
+    assert v.select(index_of_term(F.col("terms"), "red"), indexes_of_terms(F.col("terms"), ["fox", "wolf"])).first()[:] == (1, [0, -1])
+
+
 def test_empty_index(spark):
     docs = spark.createDataFrame([], "doc_id long, t string")
     s = Searcher(Index.build(docs, Schema((FieldDef("t"),))), "t")
@@ -193,7 +212,7 @@ def test_empty_index(spark):
 
 def test_plans_reach_the_scan(index):
     plan = Searcher(index).hits(Term("field", "fox"))._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(term,fox)" in plan and "positions" not in plan.split("ReadSchema")[1].split(">")[0]
+    assert "EqualTo(term,fox)" in plan and "Join" not in plan and "Exchange" not in plan and "positions" not in plan.split("ReadSchema")[1].split(">")[0]
 
 
 def test_scores_by_hand(searcher):
