@@ -1,89 +1,54 @@
-"""Pieces that the operators of this subpackage share: column picking, shared storage, words, components."""
+"""Pieces that the operators of this subpackage share: column picking, words, components."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from pathlib import Path
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word: a run of characters other than the six ASCII white-space characters (fixed pattern of the contracts).
-WORD = r"[^\x20\x09-\x0D]+"
+from loomtext.sources.storage import drop_intermediates, fresh_path, materialise, shared_dir, spread, with_workers, written
 
-ROOT = str(Path(__file__).resolve().parents[2])
+__all__ = ["WORD", "by_place", "connected_components", "drop_intermediates", "fresh_path", "materialise", "pick", "read_table", "row_hash", "row_key", "session", "shared_dir", "spread", "written"]
 
+#: A word: a run of characters other than the six ASCII white-space characters (fixed pattern of the contracts).
+WORD = r"[^\x20\x09-\x0D]+"
 
 def session(df: DataFrame) -> SparkSession:
     """The frame's session, with this repository on the import path of its Python workers."""
-    spark = df.sparkSession
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
-    return spark
+    return with_workers(df.sparkSession)
 
 
-def pick(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, taken by exact name and place.
+def by_place(df: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """The frame with its columns renamed by place (_0, _1, ...), and the named columns in it.
 
-    Other columns, also ones that differ only in case or repeat a name, can't get in the way; of equal names the first counts.
+    Names are exact, else equal but for case; of equal names the first counts. Columns that differ only in case, repeat a name or are called
+    like a helper column can't get in the way; toDF(*df.columns) gives the names back.
     """
-    at = {}
+    at: dict[str, int] = {}
+    lower: dict[str, int] = {}
     for i, c in enumerate(df.columns):
         at.setdefault(c, i)
-    lower = {}
-    for i, c in enumerate(df.columns):
         lower.setdefault(c.lower(), i)
-    places = [at[n] if n in at else lower[n.lower()] for n in names]
     plain = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
-    return plain.select(*[F.col(f"_{i}").alias(n) for n, i in zip(names, places, strict=True)])
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: what the cluster names in spark.checkpoint.dir; one is set only where there is none."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "loomtext-checkpoints"))
-    return sc.getCheckpointDir().rstrip("/")
+    return plain, [F.col(f"_{at[n] if n in at else lower[n.lower()]}") for n in names]
 
 
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-_WRITTEN: list[tuple[str, str]] = []
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write the frame to the shared folder and read it back: lineage ends there, and every executor can reread it.
-
-    The files stay, as results that are yet to be computed read them; drop_intermediates() removes them once results are written.
-    """
-    path = fresh_path(df.sparkSession, tag)
-    _WRITTEN.append((df.sparkSession.sparkContext.applicationId, path))
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """Only the named columns, whatever the others are called (see by_place)."""
+    plain, columns = by_place(df, *names)
+    return plain.select(*[c.alias(n) for n, c in zip(names, columns, strict=True)])
 
 
-def drop_intermediates(spark: SparkSession) -> int:
-    """Remove what materialise() has written in this application; returns how many tables that were."""
-    mine = [x for x in _WRITTEN if x[0] == spark.sparkContext.applicationId]
-    for entry in mine:
-        path = spark._jvm.org.apache.hadoop.fs.Path(entry[1])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        _WRITTEN.remove(entry)
-    return len(mine)
+def row_hash(plain: DataFrame, function: Callable[..., Column] = F.xxhash64) -> Column:
+    """A hash of the whole row; nulls count by their place."""
+    parts = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.struct(f.name) for f in plain.schema.fields]
+    return function(*parts)
 
 
-def row_key(doc_id: Column, th: Column) -> Column:
-    """One string for doc_id (null as well) and the hash of the text."""
-    return F.concat_ws(":", F.coalesce(doc_id.cast("long").cast("string"), F.lit("null")), th.cast("string"))
+def row_key(doc_id: Column, *hashes: Column) -> Column:
+    """One string for doc_id (null as well) and hashes of the text or the row."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("long").cast("string"), F.lit("null")), *[h.cast("string") for h in hashes])
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -120,4 +85,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))

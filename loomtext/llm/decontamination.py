@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.alignment import MATCH, best_local
-from loomtext.llm.common import materialise, pick, row_key, session
+from loomtext.llm.common import by_place, materialise, pick, row_key, session
 
 #: Words of a seed, and the fewest words of an item that is looked for.
 NGRAM, SHORTEST = 2, 3
@@ -214,6 +214,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that copy no item."""
+    """The documents that copy no item, with all their columns, whatever their names. Null and empty texts stay; rows that repeat doc_id and
+    text stay or go together."""
     bad = contaminated(docs, benchmark, threshold).select(row_key(F.col("doc_id"), F.col("th")).alias("_key")).distinct()
-    return docs.withColumn("_key", row_key(F.col("doc_id"), F.xxhash64("text"))).join(bad, "_key", "left_anti").drop("_key")
+    plain, (doc_id, text) = by_place(docs, "doc_id", "text")
+    return plain.withColumn("_key", row_key(doc_id, F.xxhash64(text))).join(bad, "_key", "left_anti").drop("_key").toDF(*docs.columns)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,25 +19,68 @@ from loomtext.llm.common import pick, session
 #: Words of a fingerprint, fingerprints of a winnowing window, half-width of the alignment band.
 GRAM, WINDOW, BAND = 3, 2, 8
 COVERAGE = 0.8
+#: Of a template at `coverage` a fifth of the words may be broken; runs of four whole words hold a fingerprint each, so more than one
+#: fingerprint in HITS words is left on the diagonals of a band.
+HITS = 20
+#: Words from which a template is a text and no notice.
+WHOLE = 25
 
-#: Common license notices and the passages that identify license texts.
+_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_BSD_CLAUSES = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_ISC_END = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+_GNU = "you can redistribute it and/or modify it under the terms of the GNU {name} General Public License as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version. This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} General Public License for more details."
+
+
+def _gnu(name: str, version: str, what: str = "program") -> str:
+    return f"This {what} is free software: " + _GNU.format(name=name, v=version, what=what)
+
+
+#: Whole texts of short licenses, and of long ones the notice that files bear.
 TEMPLATES: dict[str, str] = {
+    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. ' + _WARRANTY,
+    "BSD-2-Clause": _BSD_CLAUSES + _BSD_END,
+    "BSD-3-Clause": _BSD_CLAUSES + _BSD_THIRD + _BSD_END,
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. " + _ISC_END,
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. " + _ISC_END,
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain.",
+    "Unlicense-notice": "This is free and unencumbered software released into the public domain.",
+    "WTFPL": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed. DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO.",
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "GPL-2.0-or-later": _gnu("", "2"),
+    "GPL-3.0-or-later": _gnu("", "3"),
+    "LGPL-2.1-or-later": _gnu("Lesser", "2.1", "library"),
+    "LGPL-3.0-or-later": _gnu("Lesser", "3", "library"),
+    "AGPL-3.0-or-later": _gnu("Affero", "3"),
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
     "MIT-notice": "Released under the MIT License.",
     "MIT-licensed": "Licensed under the MIT License.",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "GPL-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "LGPL": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "CC-BY-NC-notice": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-notice": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-notice": "Licensed under CC BY 4.0.",
-    "CC": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-}
+    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "LGPL-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "BSD-notice": "Licensed under the BSD License.",
+    "ISC-notice": "Licensed under the ISC License.",
+    "MPL-2.0-notice": "Licensed under the Mozilla Public License, version 2.0.",
+    **{f"CC-{c}-notice": f"Licensed under CC {c} 4.0." for c in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")},
+    "CC-BY": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    **{f"{i}-SPDX": f"SPDX-License-Identifier: {i}" for i in (
+        "MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later",
+        "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "Zlib", "BSL-1.0", "Unlicense", "EPL-2.0", "CC0-1.0", "CC-BY-4.0",
+    )},
+}
+#: Words that tell licenses apart: those of a template must all be matched in place, and none of the others may stand there instead.
+NAMING = frozenset("mit apache gnu lesser affero mozilla eclipse bsd isc cc by sa nc nd zlib bsl unlicense creative sharealike noncommercial gpl lgpl agpl mpl epl spdx only cc0 0bsd 2 3 clause".split())
+#: Before a notice these turn it round.
+NEGATIONS = frozenset("not never no isn wasn aren without neither nor un".split())
 
 _WORDS = re.compile(r"\w+")
 
@@ -64,7 +109,7 @@ class Index:
 
     def __init__(self, templates: dict[str, str]):
         self.number: dict[str, int] = {}
-        self.texts, postings = {}, {}
+        self.texts, self.naming, postings = {}, {}, {}
         for name, text in templates.items():
             ws = _WORDS.findall(text.lower())
             if len(ws) < GRAM:
@@ -72,12 +117,20 @@ class Index:
             for w in ws:
                 self.number.setdefault(w, xxhash.xxh64_intdigest(w, 3) >> 1 | 1)
             self.texts[name] = np.array([self.number[w] for w in ws], np.uint64)
+            self.naming[name] = Counter(w for w in ws if w in NAMING)
             keys = _keys(self.texts[name], GRAM)
             for at in winnow(keys, WINDOW):
                 postings.setdefault(int(keys[at]), []).append((name, at))
         self.postings = postings
         self.sorted = np.sort(np.array(list(postings), np.uint64))
 
+    def _names(self, name: str, words: list[str], a: int, b: int) -> bool:
+        """Whether the words in place name this license and no other, and no negation stands before a short notice of it."""
+        there = Counter(w for w in words[a:b] if w in NAMING)
+        if there != self.naming[name] and (self.naming[name] - there or (there - self.naming[name] and len(self.texts[name]) < WHOLE)):
+            return False
+        return len(self.texts[name]) >= WHOLE or not NEGATIONS & set(words[max(0, a - 3) : a])
+
     def scan(self, text: str, coverage: float) -> list[tuple[str, float, int, int, int]]:
         """(template, coverage, matched words, start, end) of each license found; code points, the end exclusive; of overlapping ones the best aligned."""
         get = self.number.get
@@ -97,13 +150,17 @@ class Index:
         for h in hits.tolist():
             for name, pos in self.postings[int(keys[h])]:
                 diagonals.setdefault(name, []).append(int(at[h]) - pos)
-        found = []
+        found, words = [], None
         for name, ds in diagonals.items():
             item = self.texts[name]
             tried: list[int] = []
+            ds.sort()
+            need = max(1, len(item) // HITS)
             for d in sorted(set(ds)):
                 if tried and d - tried[-1] <= BAND // 2:
                     continue
+                if bisect_right(ds, d + BAND) - bisect_left(ds, d - BAND) < need:
+                    continue
                 tried.append(d)
                 rest = [(max(0, d - BAND), min(len(ids), d + len(item) + BAND + 1))]
                 while rest:  # beside a copy there may be another within the band
@@ -112,7 +169,9 @@ class Index:
                         continue
                     score, matched, start, end = banded(item, ids[lo:hi], d - lo, BAND)
                     if matched and matched >= coverage * len(item):
-                        found.append((score, name, matched / len(item), matched, lo + start, lo + end))
+                        words = words or _WORDS.findall(text.lower())
+                        if self._names(name, words, lo + start, lo + end):
+                            found.append((score, name, matched / len(item), matched, lo + start, lo + end))
                         rest += [(lo, lo + start), (lo + end, hi)]
         if not found:
             return []
@@ -130,8 +189,10 @@ class Index:
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, license, coverage, matched_words, start, end): one row for each license passage found in a whole text.
 
-    A template is a candidate where one of its winnowed fingerprints occurs; it is reported if aligned words make up `coverage` of it.
-    Null and empty texts have none; repeated rows are reported each.
+    A template is a candidate where its winnowed fingerprints occur; it is reported if aligned words make up `coverage` of it, and the
+    words that tell licenses apart are those of the template. Of passages that overlap the best aligned one counts, of equal ones the
+    first, then the first by name. Null and empty texts have none; very long texts are scanned whole, in time proportional to them and
+    the candidates; repeated rows are reported each; an empty table gives an empty result; other columns may have any names.
     """
     session(docs)
     index = Index(templates or TEMPLATES)

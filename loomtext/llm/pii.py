@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import zlib
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,16 +16,25 @@ from loomtext.llm.common import materialise, pick, session
 from loomtext.llm.spans import Span, digest, joined
 
 KINDS = ("email", "ip", "card", "phone", "context")
-#: Rounds of scoring; the share of a pattern's instances that must be known, how many known ones it must have, and what an instance must reach.
-ROUNDS, PRECISION, SUPPORT, CONFIDENCE = 3, 0.6, 3.0, 0.6
+#: The share of a pattern's instances that must be known, how many known ones it must have, and what an instance must reach;
+#: instances without a digit need patterns of PLAIN.
+PRECISION, SUPPORT, CONFIDENCE, PLAIN = 0.6, 3.0, 0.6, 0.8
+#: Bits of the filter that holds the contexts of seeds; its size doesn't depend on the data, and what it lets through too much is joined away.
+FILTER_BITS = 22
+#: A hot string or pattern is dealt to so many tasks.
+SALTS = 16
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _NUMBERS = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT, _DIGIT_RUN = re.compile(r"[0-9]"), re.compile(r"[0-9]+")
+#: What may fill a slot: groups of digits with separators, or one token without the marks around it.
+_SLOT = re.compile(r"\+?[(]?[0-9][0-9().\x20-]*[0-9](?![\w@])|\w[\w.@+/_-]*\w|\w")
+_GROUPS = re.compile(r"(?<![\w+])[+(]?[0-9](?:[().\x20-]{0,2}[0-9])+(?![\w@])")
 _TOKEN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._+-]*[A-Za-z0-9])?")
 _WORD = re.compile(r"\w+")
+_BEFORE = re.compile(r"(\w+)\W*\Z")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -73,75 +85,162 @@ def shape(s: str) -> str:
     return re.sub(r"(.)\1*", lambda m: f"{m[1]}{len(m[0])}", re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", re.sub(r"[0-9]", "9", s))))
 
 
-def instances(text: str, spans: list[Span]) -> list[tuple[int, int, str, bool, list[str]]]:
-    """(start, end, string, known, patterns) for the base entities and for every other token with at least five digits.
+def free_of(spans: list[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """A test whether a range overlaps none of the spans, by search in them."""
+    spans = sorted(spans)
+    starts, reach = [a for a, _ in spans], []
+    for _, b in spans:
+        reach.append(max(b, reach[-1] if reach else b))
 
-    Patterns: the two words before, the word before with the format, the format with the word after, and the format alone.
+    def free(a: int, b: int) -> bool:
+        i = bisect_right(starts, b - 1) - 1
+        return i < 0 or reach[i] <= a
+
+    return free
+
+
+def contexts(words: list[tuple[int, int]], text: str, a: int, b: int) -> list[str]:
+    """The lexical patterns around text[a:b]: two words before, word before with the format, format with the word after, format.
+
+    words: places of all words of the text. Whole words count, however long, within the text's order.
+    """
+    form = shape(text[a:b])
+    i, j = bisect_right(words, (a, a)) - 1, bisect_left(words, (b, b))
+    while i >= 0 and words[i][1] > a:
+        i -= 1
+    before = [text[x:y].lower() for x, y in words[max(0, i - 1) : i + 1]]
+    after = text[slice(*words[j])].lower() if j < len(words) else ""
+    patterns = [f"form {form}"]
+    if before:
+        patterns.append(f"{before[-1]} _ {form}")
+    if len(before) == 2:
+        patterns.append(f"{' '.join(before)} _")
+    if after:
+        patterns.append(f"{form} _ {after}")
+    return patterns
+
+
+def bit(pattern: str) -> int:
+    return zlib.crc32(pattern.encode("utf-8", "surrogatepass")) & ((1 << FILTER_BITS) - 1)
+
+
+def instances(text: str, spans: list[Span], known_bits: np.ndarray) -> list[tuple[int, int, str, bool, list[str]]]:
+    """(start, end, string, known, patterns) for the base entities and for all else that may be one.
+
+    That is every group of digits and every token with five digits or more, and whatever stands after two words that stand before seeds
+    (known_bits: the filter of those). Time is proportional to the text and the entities.
     """
-    if not spans and not _DIGIT.search(text):
+    words = [m.span() for m in _WORD.finditer(text)]
+    if not words:
         return []
-    out = []
-    taken = sorted(spans)
-    places = [(a, b, True) for a, b, _ in taken]
-    for m in _TOKEN.finditer(text):
-        if sum("0" <= c <= "9" for c in m[0]) >= 5 and not any(m.start() < b and a < m.end() for a, b, _ in taken):
-            places.append((*m.span(), False))
-    for a, b, known in places:
-        string, form = text[a:b], shape(text[a:b])
-        before = [w.lower() for w in _WORD.findall(text[max(0, a - 60) : a])][-2:]
-        after = [w.lower() for w in _WORD.findall(text[b : b + 40])][:1]
-        patterns = [f"form {form}"]
-        if before:
-            patterns.append(f"{before[-1]} _ {form}")
-        if len(before) == 2:
-            patterns.append(f"{' '.join(before)} _")
-        if after:
-            patterns.append(f"{form} _ {after[0]}")
-        out.append((a, b, string, known, patterns))
-    return out
+    free = free_of([s[:2] for s in spans])
+    places = {(a, b): True for a, b, _ in spans}
+    if _DIGIT.search(text):
+        for pattern in (_GROUPS, _TOKEN):
+            for m in pattern.finditer(text):
+                a, b = m.span()
+                if b - a >= 5 and sum("0" <= c <= "9" for c in m[0]) >= 5 and free(a, b):
+                    places.setdefault((a, b), False)
+    lowered = [w.lower() for w in _WORD.findall(text)]
+    pairs = [zlib.crc32(f"{x} {y} _".encode("utf-8", "surrogatepass")) for x, y in zip(lowered, lowered[1:])]
+    if pairs:
+        at = np.array(pairs, np.int64) & ((1 << FILTER_BITS) - 1)
+        for i in np.flatnonzero(known_bits[at >> 3] >> (at & 7) & 1).tolist():
+            m = _SLOT.search(text, words[i + 1][1])
+            if m and (i + 2 >= len(words) or m.start() <= words[i + 2][0]) and free(*m.span()):
+                places.setdefault(m.span(), False)
+    taken, last = [], -1
+    for (a, b), known in sorted(places.items(), key=lambda p: (p[0][0], -p[0][1])):
+        if known or a >= last:  # of candidates that overlap the first and longest counts
+            taken.append((a, b, known))
+            last = last if known else b
+    return [(a, b, text[a:b], known, contexts(words, text, a, b)) for a, b, known in taken]
 
 
 _ROW = "doc_id long, spans array<struct<a: int, b: int, k: string>>, found array<struct<a: int, b: int, s: string, known: boolean, patterns: array<string>>>"
 
 
-def find_personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def _salted(table: DataFrame, on: str, small: DataFrame, spread: str) -> DataFrame:
+    """Inner join of a table with a smaller one of distinct `on`: the smaller one is repeated for SALTS parts of the table's rows, so a hot value
+    burdens no task."""
+    part = F.pmod(F.xxhash64(spread), F.lit(SALTS)).alias("_part")
+    parts = small.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return table.select("*", part).join(parts, [on, "_part"]).drop("_part")
+
+
+def discover(edges: DataFrame) -> DataFrame:
+    """(s, confidence) of the instances that patterns make out, from distinct (pattern, s, known).
+
+    Seeds are sure. In each round a pattern's score is the mean confidence of its distinct instances, patterns with enough known ones
+    are strong, and an instance's confidence is the noisy-or of its strong patterns; one that reaches CONFIDENCE is known from then on
+    and may make further patterns strong. The rounds end when no instance is added.
+    """
+    sure = edges.filter("known").select("s").distinct().withColumn("confidence", F.lit(1.0))
+    found = materialise(sure, "pii0")
+    n, k = found.count(), 0
+    while n:
+        k += 1
+        known = _salted(edges, "s", found, "pattern").groupBy("pattern").agg(F.sum("confidence").alias("support"))
+        every = edges.groupBy("pattern").agg(F.count("*").alias("n"))
+        strong = known.filter(F.col("support") >= SUPPORT).join(every, "pattern").select("pattern", (F.col("support") / F.col("n")).alias("score")).filter(F.col("score") >= PRECISION)
+        told = _salted(edges.filter("NOT known"), "pattern", strong, "s").filter(F.col("s").rlike("[0-9]") | (F.col("score") >= PLAIN))
+        miss = F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-6)))))
+        new = told.groupBy("s").agg((1 - miss).alias("confidence")).filter(F.col("confidence") >= CONFIDENCE)
+        found = materialise(found.unionByName(new.join(found.select("s"), "s", "left_anti")), f"pii{k}")
+        before, n = n, found.count()
+        if n == before:
+            break
+    return found.join(sure.select("s"), "s", "left_anti")
+
+
+def find_personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_context) for every row; offsets are code points, ends exclusive.
 
-    Base entities are the seeds. Every seed and every other token with five digits or more is an instance, joined to the patterns
-    it occurs in. In each round a pattern's score is the mean confidence of its distinct instances, patterns with enough known ones
-    vote, and an instance's confidence is the noisy-or of its patterns. Instances that reach CONFIDENCE at the end become spans of
-    kind `context`. A pattern or string with a third of all rows is summed before it is exchanged.
-    Null texts count as empty and have no spans; repeated rows stay.
+    Base entities are the seeds. A first pass collects the two words before each; those that stand before SUPPORT distinct seeds go into a
+    filter of fixed size. The second pass takes as instances the seeds, digits in groups and tokens with digits, and what follows such
+    words (of at most 200 characters), whatever it is, each with the patterns it occurs in; discover() scores them on the graph of patterns and instances, and
+    those found become spans of kind `context`. Null texts count as empty and have no spans; very long texts take time in proportion
+    to them; repeated rows stay, each with its spans; ties of start go by kind; an empty table gives an empty result; other columns may have
+    any names.
     """
     session(docs)
 
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t in b.column("text").to_pylist():
+                spans = base_spans(t) if t else []
+                for a, e, _ in spans:
+                    y = _BEFORE.search(t, max(0, a - 200), a)
+                    x = _BEFORE.search(t, max(0, a - 400), y.start()) if y else None
+                    if x:
+                        out.append((f"{x[1].lower()} {y[1].lower()} _", t[a:e]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in (0, 1)], names=["pattern", "s"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = [("a", pa.int32()), ("b", pa.int32())]
         spans_type = pa.list_(pa.struct([*place, ("k", pa.string())]))
         found_type = pa.list_(pa.struct([*place, ("s", pa.string()), ("known", pa.bool_()), ("patterns", pa.list_(pa.string()))]))
         schema = pa.schema([("doc_id", pa.int64()), ("spans", spans_type), ("found", found_type)])
+        known_bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+        np.bitwise_or.at(known_bits, bits >> 3, np.uint8(1) << (bits & 7).astype(np.uint8))
         for b in batches:
             rows = []
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 spans = base_spans(t) if t else []
-                found = instances(t, spans) if t else []
+                found = instances(t, spans, known_bits) if t else []
                 rows.append({"doc_id": d, "spans": [{"a": x, "b": y, "k": k} for x, y, k in spans], "found": [{"a": x, "b": y, "s": s, "known": known, "patterns": p} for x, y, s, known, p in found]})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     plain = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    before = plain.select("text").mapInArrow(seeds, "pattern string, s string").groupBy("pattern").agg(F.countDistinct("s").alias("n")).filter(F.col("n") >= SUPPORT)
+    place = F.pandas_udf(lambda ps: ps.map(bit), "long")(F.col("pattern"))
+    bits = before.select(place.alias("bit")).distinct().toArrow().column("bit").to_numpy()  # at most 2 ** FILTER_BITS
     rows = materialise(plain.mapInArrow(run, _ROW).withColumn("rid", F.monotonically_increasing_id()), "pii")
     found = rows.select(F.explode("found").alias("x")).select("x.s", "x.known", F.explode("x.patterns").alias("pattern"))
     edges = materialise(found.groupBy("pattern", "s").agg(F.max("known").alias("known")), "piiedges")
-    sure = edges.filter("known").select("s").distinct().withColumn("confidence", F.lit(1.0))
-    confidence = sure
-    for k in range(rounds):
-        scored = edges.join(confidence, "s", "left").groupBy("pattern").agg(F.avg(F.coalesce("confidence", F.lit(0.0))).alias("score"), F.sum(F.coalesce("confidence", F.lit(0.0))).alias("support"))
-        strong = scored.filter((F.col("score") >= PRECISION) & (F.col("support") >= SUPPORT)).select("pattern", "score")
-        miss = F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-6)))))
-        new = edges.filter("NOT known").join(strong, "pattern").groupBy("s").agg((1 - miss).alias("confidence")).filter(F.col("confidence") >= CONFIDENCE)
-        confidence = materialise(sure.unionByName(new.join(sure.select("s"), "s", "left_anti")), f"pii{k}")
-    extra = rows.select("rid", F.explode("found").alias("x")).filter("NOT x.known").select("rid", "x.a", "x.b", "x.s").join(confidence.select("s"), "s")
-    more = extra.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("more"))
+    extra = rows.select("rid", F.explode("found").alias("x")).filter("NOT x.known").select("rid", "x.a", "x.b", "x.s")
+    more = _salted(extra, "s", discover(edges).select("s"), "rid").groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("more"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import materialise, pick, row_key, session
+from loomtext.llm.common import by_place, materialise, pick, row_key, session
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -19,13 +19,12 @@ SCHEMA = "doc_id long, th long, " + ", ".join(f"{f} long" for f in FEATURES)
 
 #: Rules: name, ratio, good if at most, bad if over (between the two the rule abstains; documents under MIN_WORDS words: all abstain).
 RULES: tuple[tuple[str, str, float, float], ...] = (
-    ("symbols", "n_symbols / n_words", 0.02, 0.10),
-    ("marked_words", "n_marked / n_words", 0.05, 0.15),
+    ("symbols", "greatest(n_symbols, n_marked) / n_words", 0.03, 0.10),
     ("upper_case", "n_upper / word_chars", 0.15, 0.40),
     ("duplicate_lines", "n_dup_lines / n_lines", 0.05, 0.30),
     ("repeated_windows", "n_repeat_words / n_words", 0.05, 0.25),
     ("few_distinct", "1 - n_distinct / n_words", 0.75, 0.90),
-    ("long_words", "word_chars / n_words", 14.0, 25.0),
+    ("long_words", "word_chars / n_words", 12.0, 20.0),
 )
 MIN_WORDS = 20
 
@@ -87,35 +86,32 @@ def votes() -> Column:
 def expectation_maximisation(patterns: dict[str, int], rounds: int = 200, least_ratio: float = 4.0) -> tuple[dict[str, float], dict[str, tuple[float, float]], float]:
     """(posterior quality of each vote pattern, each rule's accuracy on good and on bad documents, share of good documents).
 
-    Every rule votes good or bad or abstains with probabilities that depend on the class; given the class, rules are independent.
-    patterns counts documents by votes, at most 3 ** rules of them. The first guess takes documents with a bad vote for bad.
-    Rules are better than chance: after each step a bad vote stays at least `least_ratio` times as likely on bad documents,
-    and a good vote at least as likely on good ones, so the two classes can't change places. Counts are smoothed.
+    A rule that votes is right with a probability that depends on the class; given the class, rules are independent, and that a rule
+    abstains tells nothing, so a document without votes has the prior, the share of good documents. patterns counts documents by votes, at
+    most 3 ** rules of them. The first guess takes documents with a bad vote for bad. Rules are better than chance: after each step a bad
+    vote stays at least `least_ratio` times as likely on bad documents, and a good vote at least as likely on good ones, so the two
+    classes can't change places. Counts are smoothed.
     """
     if not patterns:
         return {}, {}, 0.5
     keys = sorted(patterns)
     n = np.array([patterns[k] for k in keys], float)
-    seen = np.array([["gb-".index(c) for c in k] for k in keys])
-    k = seen.shape[1]
+    bad, good = (np.array([[c == v for c in k] for k in keys], float) for v in "bg")
     q = np.array([0.05 if "b" in key else 0.95 for key in keys])
-    theta = np.zeros((2, k, 3))
+    share, theta = 0.5, np.zeros((2, bad.shape[1]))  # theta: how likely a vote is a bad one, on good and on bad documents
     for _ in range(rounds):
         share = float((n @ q + 1) / (n.sum() + 2))
         for c, w in ((0, n * q), (1, n * (1 - q))):
-            for v in range(3):
-                theta[c, :, v] = ((w[:, None] * (seen == v)).sum(axis=0) + 0.1) / (w.sum() + 0.3)
-        theta[0, :, 1] = np.minimum(theta[0, :, 1], theta[1, :, 1] / least_ratio)
-        theta[1, :, 0] = np.minimum(theta[1, :, 0], theta[0, :, 0])
-        logs = [math.log(p) + np.log(theta[c, np.arange(k), seen]).sum(axis=1) for c, p in ((0, share), (1, 1 - share))]
+            theta[c] = (w @ bad + 0.1) / (w @ (bad + good) + 0.2)
+        theta[0] = np.minimum(theta[0], theta[1] / least_ratio)
+        logs = [math.log(p) + bad @ np.log(theta[c]) + good @ np.log1p(-theta[c]) for c, p in ((0, share), (1, 1 - share))]
         new = 1 / (1 + np.exp(np.clip(logs[1] - logs[0], -700, 700)))
         done = np.abs(new - q).max() < 1e-9
         q = new
         if done:
             break
-    voted = theta[:, :, 0] + theta[:, :, 1]
-    names = [r[0] for r in RULES] if k == len(RULES) else [str(j) for j in range(k)]
-    accuracy = {name: (float(theta[0, j, 0] / voted[0, j]), float(theta[1, j, 1] / voted[1, j])) for j, name in enumerate(names)}
+    names = [r[0] for r in RULES] if theta.shape[1] == len(RULES) else [str(j) for j in range(theta.shape[1])]
+    accuracy = {name: (float(1 - theta[0, j]), float(theta[1, j])) for j, name in enumerate(names)}
     return dict(zip(keys, q.tolist(), strict=True)), accuracy, share
 
 
@@ -137,6 +133,8 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents that are kept. Equal texts get equal verdicts, so a document is found again by doc_id and text hash."""
+    """The documents that are kept, with all their columns. Equal texts get equal verdicts, so a document is found again by doc_id and text
+    hash; rows that repeat both stay or go together. Columns of any names may be there; null and empty texts go."""
     bad = judge(docs, threshold).filter(~F.col("kept")).select(row_key(F.col("doc_id"), F.col("th")).alias("_key")).distinct()
-    return docs.withColumn("_key", row_key(F.col("doc_id"), F.xxhash64("text"))).join(bad, "_key", "left_anti").drop("_key")
+    plain, (doc_id, text) = by_place(docs, "doc_id", "text")
+    return plain.withColumn("_key", row_key(doc_id, F.xxhash64(text))).join(bad, "_key", "left_anti").drop("_key").toDF(*docs.columns)

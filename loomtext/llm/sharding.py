@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import materialise, pick, session
+from loomtext.llm.common import by_place, materialise, pick, row_hash, session
 
 _MASK = (1 << 64) - 1
+#: Rows of a partition up to which its local permutation is drawn as a table; above, a keyed permutation gives each row its place.
+LOCAL = 1 << 20
 
 
 def shard_sizes(rows: int, shards: int) -> list[int]:
@@ -48,20 +51,34 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) ->
     return mode
 
 
-def communication_matrix(counts: list[int], shards: int, seed: int) -> list[list[int]]:
-    """Rows: partitions, columns: shards; exact row and column sums, distributed as under a uniform shuffle of all rows."""
-    rng = np.random.default_rng([seed, shards, len(counts)])
-    left = shard_sizes(sum(counts), shards)
-    matrix = []
-    for n in counts:
-        row, rest, draws = [], sum(left), n
-        for j, have in enumerate(left):
-            x = hypergeometric(rng, have, rest - have, draws) if j < shards - 1 else draws
-            row.append(x)
-            rest, draws = rest - have, draws - x
-        left = [a - b for a, b in zip(left, row, strict=True)]
-        matrix.append(row)
-    return matrix
+class Communication:
+    """The matrix of how many rows each partition sends to each shard: exact sums both ways, distributed as under a uniform shuffle of all rows.
+
+    It is never made as a whole. Partitions are halved again and again; how many rows of each shard come from the first half is a
+    multivariate hypergeometric draw, seeded by the range that is halved, so a task finds the row of its own partition on the way
+    down, by as many draws as shards for each halving. All it needs is one count a partition.
+    """
+
+    def __init__(self, counts: list[int], shards: int, seed: int):
+        self.before = np.concatenate(([0], np.cumsum(np.asarray(counts, np.int64))))
+        self.shards, self.seed = shards, seed
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows that partition i sends to each shard, rows that the partitions before it send there)"""
+        lo, hi = 0, len(self.before) - 1
+        mine, base = np.array(shard_sizes(int(self.before[-1]), self.shards), np.int64), np.zeros(self.shards, np.int64)
+        while hi - lo > 1:
+            middle = (lo + hi) // 2
+            rng = np.random.default_rng([self.seed, self.shards, lo, hi])
+            rest, draws, first = int(mine.sum()), int(self.before[middle] - self.before[lo]), np.zeros(self.shards, np.int64)
+            for j, have in enumerate(mine.tolist()):
+                first[j] = hypergeometric(rng, have, rest - have, draws)
+                rest, draws = rest - have, draws - int(first[j])
+            if i < middle:
+                hi, mine = middle, first
+            else:
+                lo, mine, base = middle, mine - first, base + first
+        return mine, base
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -94,10 +111,10 @@ def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
 def assign(rows: DataFrame, shards: int = 24, seed: int = 11) -> DataFrame:
     """The given rows (small columns only) with shard and slot: uniform over all ways to put them into shards of exact sizes.
 
-    Rows are numbered within the partitions they lie in and written once. The driver draws how many rows each partition sends to
-    each shard (one count a partition comes to it), every partition deals its rows by a local random permutation, which gives
-    each row its gapless place among those sent to its shard, and these places are permuted again within the shard. The last
-    permutation is a keyed one that needs no gathering, so no task ever holds a shard.
+    Rows are numbered within the partitions they lie in and written once; one count a partition comes to the driver and goes to the tasks.
+    Each partition deals its rows by a local random permutation into the numbers that the communication matrix gives it, which
+    gives each row its gapless place among those sent to its shard, and these places are permuted again within the shard. Large
+    permutations are keyed ones that need no gathering, so rows are dealt where they lie, batch by batch, and no task ever holds a shard.
     """
     session(rows)
     columns = rows.columns
@@ -105,27 +122,33 @@ def assign(rows: DataFrame, shards: int = 24, seed: int = 11) -> DataFrame:
     numbered = rows.withColumn("_at", at).withColumn("_pid", F.shiftright("_at", 33)).withColumn("_idx", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
     numbered = materialise(numbered, "shardrows")
     counts = {r["_pid"]: r["n"] for r in numbered.groupBy("_pid").agg(F.count("*").alias("n")).collect()}
-    pids = sorted(counts)
-    matrix = communication_matrix([counts[p] for p in pids], shards, seed)
-    sizes, base, plan = shard_sizes(sum(counts.values()), shards), [0] * shards, []
-    for p, row in zip(pids, matrix, strict=True):
-        plan.append((p, row, list(base)))
-        base = [a + b for a, b in zip(base, row, strict=True)]
-    table = rows.sparkSession.createDataFrame(plan, "_pid long, sends array<long>, base array<long>")
+    pids = np.array(sorted(counts), np.int64)
+    each = np.array([counts[p] for p in pids.tolist()], np.int64)
     schema = rows.select(*columns, F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")).schema
 
-    def deal(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        pid, sends, base = int(right["_pid"].iloc[0]), np.asarray(right["sends"].iloc[0]), np.asarray(right["base"].iloc[0])
-        place = np.random.default_rng([seed, 1, pid]).permutation(len(left))[left["_idx"].to_numpy().argsort().argsort()]
-        ends = np.cumsum(sends)
-        shard = np.searchsorted(ends, place, side="right")
-        slot = base[shard] + place - (ends - sends)[shard]
-        for s in np.unique(shard):
-            mine = shard == s
-            slot[mine] = permute(slot[mine], sizes[s], (seed << 20) + int(s))
-        return left[columns].assign(shard=shard.astype("int32"), slot=slot)
-
-    return numbered.groupBy("_pid").cogroup(table.groupBy("_pid")).applyInPandas(deal, schema)
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix, known = Communication(each.tolist(), shards, seed), {}
+        sizes = shard_sizes(int(each.sum()), shards)
+        for b in batches:
+            pid, idx = b.column("_pid").to_numpy(), b.column("_idx").to_numpy()
+            shard, slot = np.zeros(len(pid), np.int32), np.zeros(len(pid), np.int64)
+            for p in np.unique(pid).tolist():
+                i = int(np.searchsorted(pids, p))
+                if i not in known:
+                    small = each[i] <= LOCAL
+                    known = {i: (*matrix.row(i), np.random.default_rng([seed, 1, p]).permutation(each[i]) if small else None)}
+                sends, base, local = known[i]
+                mine = np.flatnonzero(pid == p)
+                place = local[idx[mine]] if local is not None else permute(idx[mine], int(each[i]), (seed << 40) + p)
+                ends = np.cumsum(sends)
+                shard[mine] = np.searchsorted(ends, place, side="right")
+                slot[mine] = base[shard[mine]] + place - (ends - sends)[shard[mine]]
+            for s in np.unique(shard).tolist():
+                mine = shard == s
+                slot[mine] = permute(slot[mine], sizes[s], (seed << 20) + s)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], pa.array(shard), pa.array(slot)], names=[*columns, "shard", "slot"])
+
+    return numbered.mapInArrow(deal, schema)
 
 
 def exchange(assigned: DataFrame) -> DataFrame:
@@ -140,13 +163,13 @@ def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 11) -> DataFr
     so the shuffle stays uniform. Null columns, empty texts and repeated rows are rows like others; an empty table stays empty.
     A column already named shard or slot is replaced.
     """
-    docs = docs.drop("shard", "slot")
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64(*[F.struct(c) for c in docs.columns]).cast("string"))
-    keyed = docs.withColumn("_key", key)
-    places = assign(keyed.select("_key"), shards, seed).groupBy("_key").agg(F.collect_list(F.struct("shard", "slot")).alias("_places"))
-    one = keyed.join(places, "_key").dropDuplicates(["_key"])
-    placed = one.withColumn("_place", F.explode("_places")).withColumn("shard", F.col("_place.shard")).withColumn("slot", F.col("_place.slot"))
-    return exchange(placed.drop("_key", "_places", "_place"))
+    kept = [i for i, c in enumerate(docs.columns) if c.lower() not in ("shard", "slot")]
+    plain, _ = by_place(docs)
+    plain = plain.select(*[f"_{i}" for i in kept])
+    keyed = plain.withColumn("_key", F.concat_ws(":", row_hash(plain), row_hash(plain, F.hash)))
+    places = assign(keyed.select("_key"), shards, seed)
+    placed = keyed.dropDuplicates(["_key"]).join(places, "_key").drop("_key")  # a row that is there k times meets its k places
+    return exchange(placed).toDF(*[docs.columns[i] for i in kept], "shard", "slot")
 
 
 def shard_table(docs: DataFrame, shards: int = 24, seed: int = 11) -> DataFrame:

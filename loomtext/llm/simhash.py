@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import connected_components, materialise, pick, row_key, session
+from loomtext.llm.common import by_place, connected_components, materialise, pick, row_hash, row_key, session
 
 BITS, BYTES = 64, 8
 #: Buckets over this size are dealt anew by one more byte.
@@ -99,13 +100,15 @@ def _pairs_in_blocks(fps: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarra
         yield s + a[near], s + b[near]
 
 
-def _pairs_by_flips(fps: np.ndarray, flips: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The same pairs, found by looking up each fingerprint with each set of bits flipped: time in proportion to the list."""
+def _pairs_by_flips(fps: np.ndarray, flips: list[int], max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs, found by looking up each fingerprint with each set of bits flipped: time in proportion to the list. Shared bytes are tallied as well."""
+    least = BYTES - max_bits
     for mask in flips:
         other = fps ^ np.uint64(mask)
         at = np.minimum(np.searchsorted(fps, other), len(fps) - 1)
         a = np.flatnonzero((fps[at] == other) & (other > fps))
-        yield a, at[a]
+        shared = (fps[a].view(np.uint8).reshape(-1, BYTES) == fps[at[a]].view(np.uint8).reshape(-1, BYTES)).sum(axis=1)
+        yield a[shared >= least], at[a][shared >= least]
 
 
 def bucket_edges(fps: np.ndarray, max_bits: int, flips_from: int = 4) -> list[tuple[int, int]]:
@@ -119,7 +122,7 @@ def bucket_edges(fps: np.ndarray, max_bits: int, flips_from: int = 4) -> list[tu
     differing = int(np.bitwise_or.reduce(fps ^ fps[0])) if n else 0
     bits = [1 << i for i in range(64) if differing >> i & 1]
     number = sum(math.comb(len(bits), k) for k in range(1, max_bits + 1))
-    found = _pairs_by_flips(fps, [sum(c) for k in range(1, max_bits + 1) for c in combinations(bits, k)]) if n > flips_from * number else _pairs_in_blocks(fps, max_bits)
+    found = _pairs_by_flips(fps, [sum(c) for k in range(1, max_bits + 1) for c in combinations(bits, k)], max_bits) if n > flips_from * number else _pairs_in_blocks(fps, max_bits)
     parent, edges = np.arange(n), []
     for a, b in found:
         while (parent[parent] != parent).any():
@@ -151,8 +154,9 @@ def links(unique: DataFrame, max_bits: int = 3) -> DataFrame:
     groups = byte_groups(max_bits)
     posted = unique.select("fp", F.posexplode(F.array(*[_key(F.col("fp"), g) for g in groups])).alias("g", "key"))
     lists = materialise(posted.groupBy("g", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "simlists")
-    bits = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
-    pairs = lists.filter("n = 2").filter(bits("a", "b") <= max_bits).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    different = F.col("a").bitwiseXOR(F.col("b"))
+    shared = reduce(Column.__add__, [(F.shiftrightunsigned(different, 8 * i).bitwiseAND(F.lit(255)) == 0).cast("int") for i in range(BYTES)])
+    pairs = lists.filter("n = 2").filter((shared >= BYTES - max_bits) & (F.bit_count(different) <= max_bits)).select(F.col("a").alias("u"), F.col("b").alias("v"))
     longer = posted.join(lists.filter("n > 2").select("g", "key", "n"), ["g", "key"])
     whole = longer.filter(F.col("n") <= SPLIT_OVER).select("g", F.lit(-1).alias("at"), "key", "fp")
     rest = F.array(*[F.array(*[F.struct(F.lit(i).alias("at"), _key(F.col("fp"), (*g, i)).alias("key")) for i in range(BYTES) if i not in g]) for g in groups])
@@ -254,11 +258,11 @@ def set_edges(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]
     return edges
 
 
-_SETS = "doc_id long, th long, node long, n long, shingles array<long>, bands array<long>"
+_SETS = "doc_id long, th long, rh long, node long, n long, shingles array<long>, bands array<long>"
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, node, n, shingles, bands) for every row; equal sets of shingles have equal nodes."""
+    """(doc_id, th, rh, node, n, shingles, bands) for every row (doc_id, text, _rh); equal sets of shingles have equal nodes."""
     session(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,13 +271,13 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 b = whole.slice(lo, 1000)
                 sets = [shingles(t) for t in b.column("text").to_pylist()]
                 columns = [
-                    b.column("doc_id"), b.column("th"),
+                    b.column("doc_id"), b.column("th"), b.column("rh"),
                     pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], pa.uint64()).view(pa.int64()), pa.array(list(map(len, sets)), pa.int64()),
                     pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "node", "n", "shingles", "bands"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "rh", "node", "n", "shingles", "bands"])
 
-    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"), F.col("_rh").alias("rh"))
     return rows.mapInArrow(run, _SETS)
 
 
@@ -306,14 +310,16 @@ def similar_sets(rows: DataFrame) -> DataFrame:
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """The documents without near-duplicates: texts link if the Jaccard similarity of their five-word shingles is 0.8 or more.
 
-    Of each component the row with the smallest doc_id stays, of rows that repeat it with the same text one. Null and wordless texts are
-    copies of each other.
+    Of each component the row with the smallest doc_id stays (null last), of rows that repeat doc_id and text the one with the smallest hash of
+    the whole row, once. Null and wordless texts are copies of each other. All columns stay, whatever their names; an empty table stays empty.
     """
-    rows = materialise(shingle_sets(docs), "shingles")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("first")
+    plain, (doc_id, text) = by_place(docs, "doc_id", "text")
+    plain = plain.withColumn("_rh", row_hash(plain))
+    rows = materialise(shingle_sets(plain.select(doc_id.alias("doc_id"), text.alias("text"), "_rh")), "shingles")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "rh")).alias("first")
     named = rows.groupBy("node").agg(first).withColumnRenamed("node", "own")
     roots = connected_components(similar_sets(rows))
     of = named.join(roots, named["own"] == roots["node"], "left").groupBy(F.coalesce("root", "own").alias("root")).agg(F.min("first").alias("first"))
-    keep = of.select(row_key(F.col("first.doc_id"), F.col("first.th")).alias("_key")).distinct()
-    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.xxhash64("text")))
-    return keyed.join(keep, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    keep = of.select(row_key(F.col("first.doc_id"), F.col("first.th"), F.col("first.rh")).alias("_key")).distinct()
+    keyed = plain.withColumn("_key", row_key(doc_id, F.xxhash64(text), F.col("_rh")))
+    return keyed.join(keep, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key", "_rh").toDF(*docs.columns)

@@ -38,12 +38,12 @@ def _default_tokenizer() -> str:
 
 
 class Encoder:
-    """Whole texts to ids by a byte-level BPE file of the tokenizers library, special strings as plain text.
+    """Whole texts to ids by a byte-level BPE file of the tokenizers library, as its plain call on each text gives them.
 
     The library's split pattern never joins across a single space or line break between two other characters, nor a letter or
     digit with marks after it. So texts are cut there, and the library encodes each distinct piece once: many new pieces in
     one call, told apart by the ids that begin with a space or line break, which stand at the start of a piece only.
-    Texts with doubled white space are cut at single spaces only.
+    Texts with doubled white space are cut at single spaces only; those that hold a string which the tokenizer knows as a token of its own are not cut.
     """
 
     def __init__(self, path: str):
@@ -53,7 +53,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         vocabulary = self.tokenizer.get_vocab()
         if max(vocabulary.values()) >= 1 << 16:
             raise ValueError("the store keeps ids in 16 bits")
@@ -113,6 +113,10 @@ class Encoder:
     def encode(self, texts: pa.StringArray) -> list[np.ndarray]:
         """The ids of each text (no nulls)."""
         odd = pc.or_(pc.match_substring_regex(texts, _ODD), pc.equal(pc.binary_length(texts), 0)).to_numpy(zero_copy_only=False)
+        special = np.zeros(len(texts), bool)
+        for s in self.special:
+            special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        odd |= special
         out: list[np.ndarray | None] = [None] * len(texts)
         at = np.flatnonzero(~odd)
         if len(at):
@@ -138,6 +142,9 @@ class Encoder:
                 out[i] = whole[a:b]
         for i in np.flatnonzero(odd).tolist():
             text = texts[i].as_py()
+            if special[i]:
+                out[i] = self.plain(text)
+                continue
             first_piece, *rest = _SINGLE.split(text) if text else [""]
             out[i] = np.concatenate([self.plain(first_piece), *[self.plain(" " + x) for x in rest]])
         return out
@@ -268,12 +275,13 @@ def write_store(docs: DataFrame, path: str | None = None, tokenizer: str | None
     become recipes in ascending doc_id order (null first, rows with equal doc_id in any order). Empty tables give an empty store.
     """
     spark = session(docs)
-    path, tokenizer = path or fresh_path(spark, "tokens"), tokenizer or _default_tokenizer()
+    path = path or fresh_path(spark, "tokens")
     names = [x.split()[0] for x in _STAGED.split(", ")]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _WORKER.get("path") != tokenizer:
-            _WORKER.update(path=tokenizer, encoder=Encoder(tokenizer))
+        file = tokenizer or _default_tokenizer()  # found where the task runs
+        if _WORKER.get("path") != file:
+            _WORKER.update(path=file, encoder=Encoder(file))
         encoder, sent = _WORKER["encoder"], set()
         end = np.asarray([END_ID], "<u2")
         for b in batches:
@@ -380,6 +388,12 @@ def _roots(store: TokenStore) -> DataFrame:
     return store.spark.createDataFrame(rows, "part int, documents long, root binary")
 
 
+def _same_roots(store: TokenStore) -> bool:
+    """Whether the manifest is that of the recipes' leaves. Both have a row a recipe file."""
+    now, kept = (df.select("part", "documents", "root") for df in (_roots(store), store.manifest()))
+    return now.exceptAll(kept).isEmpty() and kept.exceptAll(now).isEmpty()
+
+
 def verify(store: TokenStore) -> bool:
     """Whether every chunk has the hash it is kept under, every recipe its leaf, and every file and the whole their Merkle roots."""
 
@@ -392,8 +406,7 @@ def verify(store: TokenStore) -> bool:
             yield pa.RecordBatch.from_arrays([pa.array([sum(_leaf(d, c) != x for d, c, x in zip(b.column("doc_id").to_pylist(), b.column("chunks").to_pylist(), b.column("leaf").to_pylist(), strict=True))], pa.int64())], names=["bad"])
 
     bad = store.chunks().mapInArrow(bad_chunk, "bad long").unionByName(store.recipes().select("doc_id", "chunks", "leaf").mapInArrow(bad_leaf, "bad long"))
-    same = _roots(store).join(store.manifest(), ["part", "documents", "root"]).count() == store.manifest().count()
-    return same and not (bad.agg(F.sum("bad")).first()[0] or 0)
+    return _same_roots(store) and not (bad.agg(F.sum("bad")).first()[0] or 0)
 
 
 def read_documents(store: TokenStore) -> DataFrame:
@@ -412,9 +425,19 @@ def read_documents(store: TokenStore) -> DataFrame:
 def document_digests(store: TokenStore) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, n_chunks) from the files.
 
-    Every distinct chunk is read, held against its hash and summed once; a document's crc32 is the XOR of its chunks' crc32, each shifted
-    by what follows, so documents need not be put together again. A chunk that is missing or altered makes the query fail.
+    The files are held against the manifest first: every recipe against its leaf, every recipe file and the whole against their Merkle
+    roots; then every distinct chunk is read, held against its hash and summed once. A document's crc32 is the XOR of its chunks' crc32,
+    each shifted by what follows, so ids need not be moved to where documents are. Files that are missing or altered make the query
+    fail. Documents with equal doc_id are each a row; an empty store gives an empty result.
     """
+    if not _same_roots(store):
+        raise ValueError("the recipes aren't those of the manifest")
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if any(_leaf(d, c) != x for d, c, x in zip(b.column("doc_id").to_pylist(), b.column("chunks").to_pylist(), b.column("leaf").to_pylist(), strict=True)):
+                raise ValueError("a recipe doesn't have the hash it is kept under")
+            yield b
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -430,7 +453,8 @@ def document_digests(store: TokenStore) -> DataFrame:
             c = shift_crc(b.column("crc").to_numpy().astype(np.uint32), b.column("tail").to_numpy())
             yield pa.RecordBatch.from_arrays([*[b.column(x) for x in ("doc_id", "rid", "start", "n_tokens")], pa.array(c.astype(np.int64))], names=["doc_id", "rid", "start", "n_tokens", "crc"])
 
-    refs = store.starts().select("doc_id", "rid", "start", "n_tokens", F.explode("chunks").alias("c")).select("doc_id", "rid", "start", "n_tokens", F.col("c.hash").alias("hash"), F.col("c.tail").alias("tail"))
+    starts = store.starts()
+    refs = starts.mapInArrow(leaves, starts.schema).select("doc_id", "rid", "start", "n_tokens", F.explode("chunks").alias("c")).select("doc_id", "rid", "start", "n_tokens", F.col("c.hash").alias("hash"), F.col("c.tail").alias("tail"))
     moved = refs.join(store.chunks().mapInArrow(sums, "hash binary, crc long"), "hash", "left").drop("hash").mapInArrow(shift, "doc_id long, rid long, start long, n_tokens long, crc long")
     out = moved.groupBy("doc_id", "rid", "start", "n_tokens").agg(F.bit_xor("crc").alias("ids_crc32"), F.count("*").alias("n_chunks"))
     return out.select("doc_id", "start", "n_tokens", "ids_crc32", "n_chunks")
