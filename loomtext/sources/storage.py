@@ -63,10 +63,16 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_intermediates(spark: SparkSession, keep: DataFrame | None = None) -> int:
-    """Remove what materialise() has written in this application, but for tables that `keep` reads; returns how many tables that were."""
+def written() -> int:
+    """How many tables materialise() has written so far; a mark for drop_intermediates()."""
+    return len(_WRITTEN)
+
+
+def drop_intermediates(spark: SparkSession, keep: DataFrame | None = None, since: int = 0) -> int:
+    """Remove what materialise() has written in this application, after the mark `since` and but for tables that `keep` reads; returns how
+    many tables that were."""
     held = keep.inputFiles() if keep is not None else []
-    mine = [x for x in _WRITTEN if x[0] == spark.sparkContext.applicationId and not any(f"/{os.path.basename(x[1])}/" in f for f in held)]
+    mine = [x for x in _WRITTEN[since:] if x[0] == spark.sparkContext.applicationId and not any(f"/{os.path.basename(x[1])}/" in f for f in held)]
     for entry in mine:
         path, fs = file_system(spark, entry[1])
         fs.delete(path, True)
