@@ -89,11 +89,10 @@ def expectation_maximisation(patterns: dict[str, int], rounds: int = 200, least_
     A rule that votes is right with a probability that depends on the class; given the class, rules are independent, and that a rule
     abstains tells nothing, so a document without votes has the prior, the share of good documents. patterns counts documents by votes, at
     most 3 ** rules of them. The first guess takes documents with a bad vote for bad. Rules are better than chance: after each step a bad
-    vote stays at least `least_ratio` times as likely on bad documents, and a good vote at least as likely on good ones, so the two
-    classes can't change places. Counts are smoothed.
+    vote stays at least `least_ratio` times as likely on bad documents, so the two classes can't change places. Counts are smoothed.
     """
-    if not patterns:
-        return {}, {}, 0.5
+    if not any(patterns.values()):
+        return dict.fromkeys(patterns, 0.5), {}, 0.5
     keys = sorted(patterns)
     n = np.array([patterns[k] for k in keys], float)
     bad, good = (np.array([[c == v for c in k] for k in keys], float) for v in "bg")
@@ -119,12 +118,12 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(doc_id, th, FEATURES, votes, quality, base_failed, kept) for every row.
 
     kept is false where the base rules fail, else whether the posterior probability of quality is at least `threshold`.
-    Votes are counted over all documents by pattern (a table of at most 3 ** rules rows, whatever the corpus), the model is
-    fitted to those counts on the driver. Null and empty texts have no words, fail the base and are not kept; rows with
+    Votes are counted over all documents by pattern (a table of at most 3 ** rules rows, whatever the corpus). The model is fitted on the driver to
+    the counts of those that pass the base rules, as the others are decided: else their kind of bad would hide all others. Null and empty texts have no words, fail the base and are not kept; rows with
     equal doc_ids are judged each for itself. An empty table gives an empty result.
     """
     rows = materialise(measure(docs).withColumn("votes", votes()), "quality")
-    counted = {r["votes"]: r["n"] for r in rows.groupBy("votes").agg(F.count("*").alias("n")).collect()}
+    counted = {r["votes"]: r["n"] for r in rows.groupBy("votes").agg(F.count_if(~base_failed()).alias("n")).collect()}
     posterior, _, share = expectation_maximisation(counted)
     spark = rows.sparkSession
     table = spark.createDataFrame(list(posterior.items()) or [("", share)], "votes string, quality double")
