@@ -19,6 +19,8 @@ KINDS = ("email", "ip", "card", "phone", "context")
 #: The share of a pattern's instances that must be known, how many known ones it must have, and what an instance must reach;
 #: instances without a digit need patterns of PLAIN.
 PRECISION, SUPPORT, CONFIDENCE, PLAIN = 0.6, 3.0, 0.6, 0.8
+#: Two words lead to instances if a seed follows them in this share of the places where they stand.
+LEAD = 0.25
 #: Bits of the filter that holds the contexts of seeds; its size doesn't depend on the data, and what it lets through too much is joined away.
 FILTER_BITS = 22
 #: A hot string or pattern is dealt to so many tasks.
@@ -120,35 +122,44 @@ def contexts(words: list[tuple[int, int]], text: str, a: int, b: int) -> list[st
     return patterns
 
 
-def bit(pattern: str) -> int:
-    return zlib.crc32(pattern.encode("utf-8", "surrogatepass")) & ((1 << FILTER_BITS) - 1)
+def pair_places(words: list[str]) -> np.ndarray:
+    """For each two neighbouring words their place in the filter, without case."""
+    if len(words) < 2:
+        return np.empty(0, np.int64)
+    each = "\n".join(words).lower().encode("utf-8", "surrogatepass").split(b"\n")
+    h = np.fromiter(map(zlib.crc32, each), np.uint64, len(each))
+    return ((h[:-1] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) ^ h[1:]).astype(np.int64) & ((1 << FILTER_BITS) - 1)
 
 
-def instances(text: str, spans: list[Span], known_bits: np.ndarray) -> list[tuple[int, int, str, bool, list[str]]]:
+def known_places(places: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << FILTER_BITS, bool)
+    out[places] = True
+    return out
+
+
+def instances(text: str, spans: list[Span], filled: np.ndarray) -> list[tuple[int, int, str, bool, list[str]]]:
     """(start, end, string, known, patterns) for the base entities and for all else that may be one.
 
     That is every group of digits and every token with five digits or more, and whatever stands after two words that stand before seeds
-    (known_bits: the filter of those). Time is proportional to the text and the entities.
+    (filled: the filter of those). Time is proportional to the text and the entities.
     """
-    words = [m.span() for m in _WORD.finditer(text)]
-    if not words:
+    hits = np.flatnonzero(filled[pair_places(_WORD.findall(text))]).tolist()
+    digits = _DIGIT.search(text)
+    if not (hits or spans or digits):
         return []
+    words = [m.span() for m in _WORD.finditer(text)]
     free = free_of([s[:2] for s in spans])
     places = {(a, b): True for a, b, _ in spans}
-    if _DIGIT.search(text):
+    if digits:
         for pattern in (_GROUPS, _TOKEN):
             for m in pattern.finditer(text):
                 a, b = m.span()
                 if b - a >= 5 and sum("0" <= c <= "9" for c in m[0]) >= 5 and free(a, b):
                     places.setdefault((a, b), False)
-    lowered = [w.lower() for w in _WORD.findall(text)]
-    pairs = [zlib.crc32(f"{x} {y} _".encode("utf-8", "surrogatepass")) for x, y in zip(lowered, lowered[1:])]
-    if pairs:
-        at = np.array(pairs, np.int64) & ((1 << FILTER_BITS) - 1)
-        for i in np.flatnonzero(known_bits[at >> 3] >> (at & 7) & 1).tolist():
-            m = _SLOT.search(text, words[i + 1][1])
-            if m and (i + 2 >= len(words) or m.start() <= words[i + 2][0]) and free(*m.span()):
-                places.setdefault(m.span(), False)
+    for i in hits:
+        m = _SLOT.search(text, words[i + 1][1])
+        if m and (i + 2 >= len(words) or m.start() <= words[i + 2][0]) and free(*m.span()):
+            places.setdefault(m.span(), False)
     taken, last = [], -1
     for (a, b), known in sorted(places.items(), key=lambda p: (p[0][0], -p[0][1])):
         if known or a >= last:  # of candidates that overlap the first and longest counts
@@ -196,8 +207,9 @@ def discover(edges: DataFrame) -> DataFrame:
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_context) for every row; offsets are code points, ends exclusive.
 
-    Base entities are the seeds. A first pass collects the two words before each; those that stand before SUPPORT distinct seeds go into a
-    filter of fixed size. The second pass takes as instances the seeds, digits in groups and tokens with digits, and what follows such
+    Base entities are the seeds. A first pass collects the two words before each, a second one counts how often those stand anywhere. Two words that
+    stand before SUPPORT distinct seeds, and before a seed in LEAD of all places, go into a filter of fixed size; so what follows them
+    grows with the seeds and no faster. The last pass takes as instances the seeds, digits in groups and tokens with digits, and what follows such
     words (of at most 200 characters), whatever it is, each with the patterns it occurs in; discover() scores them on the graph of patterns and instances, and
     those found become spans of kind `context`. Null texts count as empty and have no spans; very long texts take time in proportion
     to them; repeated rows stay, each with its spans; ties of start go by kind; an empty table gives an empty result; other columns may have
@@ -207,35 +219,51 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            pairs, out = [], []
             for t in b.column("text").to_pylist():
                 spans = base_spans(t) if t else []
                 for a, e, _ in spans:
                     y = _BEFORE.search(t, max(0, a - 200), a)
                     x = _BEFORE.search(t, max(0, a - 400), y.start()) if y else None
                     if x:
-                        out.append((f"{x[1].lower()} {y[1].lower()} _", t[a:e]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in (0, 1)], names=["pattern", "s"])
+                        pairs += [x[1], y[1]]
+                        out.append(t[a:e])
+            yield pa.RecordBatch.from_arrays([pa.array(pair_places(pairs)[::2], pa.int64()), pa.array(out, pa.string())], names=["place", "s"])
+
+    def places_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled, total = known_places(led["place"].to_numpy()), np.zeros(1 << FILTER_BITS, np.int32)
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                if t:
+                    at = pair_places(_WORD.findall(t))
+                    np.add.at(total, at[filled[at]], 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["place", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = [("a", pa.int32()), ("b", pa.int32())]
         spans_type = pa.list_(pa.struct([*place, ("k", pa.string())]))
         found_type = pa.list_(pa.struct([*place, ("s", pa.string()), ("known", pa.bool_()), ("patterns", pa.list_(pa.string()))]))
         schema = pa.schema([("doc_id", pa.int64()), ("spans", spans_type), ("found", found_type)])
-        known_bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-        np.bitwise_or.at(known_bits, bits >> 3, np.uint8(1) << (bits & 7).astype(np.uint8))
+        filled = known_places(places)
         for b in batches:
             rows = []
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 spans = base_spans(t) if t else []
-                found = instances(t, spans, known_bits) if t else []
+                found = instances(t, spans, filled) if t else []
                 rows.append({"doc_id": d, "spans": [{"a": x, "b": y, "k": k} for x, y, k in spans], "found": [{"a": x, "b": y, "s": s, "known": known, "patterns": p} for x, y, s, known, p in found]})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     plain = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    before = plain.select("text").mapInArrow(seeds, "pattern string, s string").groupBy("pattern").agg(F.countDistinct("s").alias("n")).filter(F.col("n") >= SUPPORT)
-    place = F.pandas_udf(lambda ps: ps.map(bit), "long")(F.col("pattern"))
-    bits = before.select(place.alias("bit")).distinct().toArrow().column("bit").to_numpy()  # at most 2 ** FILTER_BITS
+    led = plain.select("text").mapInArrow(seeds, "place long, s string").groupBy("place").agg(F.countDistinct("s").alias("distinct"), F.count("*").alias("seeds"))
+    led = led.filter(F.col("distinct") >= SUPPORT).select("place", "seeds").toArrow()  # at most 2 ** FILTER_BITS rows, as below
+    places = np.empty(0, np.int64)
+    if led.num_rows:
+        every = plain.select("text").mapInArrow(places_of, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+        n = np.zeros(1 << FILTER_BITS, np.int64)
+        n[every["place"].to_numpy()] = every["n"].to_numpy()
+        at = led["place"].to_numpy()
+        places = at[led["seeds"].to_numpy() >= LEAD * n[at]]
     rows = materialise(plain.mapInArrow(run, _ROW).withColumn("rid", F.monotonically_increasing_id()), "pii")
     found = rows.select(F.explode("found").alias("x")).select("x.s", "x.known", F.explode("x.patterns").alias("pattern"))
     edges = materialise(found.groupBy("pattern", "s").agg(F.max("known").alias("known")), "piiedges")
