@@ -258,11 +258,16 @@ def set_edges(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]
     return edges
 
 
-_SETS = "doc_id long, th long, rh long, node long, n long, shingles array<long>, bands array<long>"
+_SETS = "doc_id long, th long, rh long, node long, n long, bands array<long>"
+
+
+def _node(h: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(h.tobytes())
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, rh, node, n, shingles, bands) for every row (doc_id, text, _rh); equal sets of shingles have equal nodes."""
+    """(doc_id, th, rh, node, n, bands) for every row (doc_id, text, _rh); equal sets of shingles have equal nodes. The sets themselves are as
+    large as the texts and are made again for those that need them."""
     session(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,18 +276,29 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 b = whole.slice(lo, 1000)
                 sets = [shingles(t) for t in b.column("text").to_pylist()]
                 columns = [
-                    b.column("doc_id"), b.column("th"), b.column("rh"),
-                    pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], pa.uint64()).view(pa.int64()), pa.array(list(map(len, sets)), pa.int64()),
-                    pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64())),
+                    b.column("doc_id"), b.column("th"), b.column("rh"), pa.array(list(map(_node, sets)), pa.uint64()).view(pa.int64()),
+                    pa.array(list(map(len, sets)), pa.int64()), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "rh", "node", "n", "shingles", "bands"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "rh", "node", "n", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"), F.col("_rh").alias("rh"))
     return rows.mapInArrow(run, _SETS)
 
 
-def similar_sets(rows: DataFrame) -> DataFrame:
-    """Edges (u, v) between nodes with the same components as all pairs of similar sets; rows as of shingle_sets().
+def _sets_of(texts: DataFrame) -> DataFrame:
+    """(node, shingles) of rows (text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                sets = [shingles(t) for t in whole.slice(lo, 1000).column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(map(_node, sets)), pa.uint64()).view(pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return texts.mapInArrow(run, "node long, shingles array<long>")
+
+
+def similar_sets(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Edges (u, v) between nodes with the same components as all pairs of similar sets; rows as of shingle_sets(docs).
 
     Sets that share a band's key are candidates. Of short lists every pair is verified on the whole sets; a long list goes to a task
     that links its sets, so that many near copies never give all pairs.
@@ -291,8 +307,11 @@ def similar_sets(rows: DataFrame) -> DataFrame:
     posted = unique.select("node", "n", F.posexplode("bands").alias("g", "key"))
     lists = posted.groupBy("g", "key").agg(F.count("*").alias("many")).filter("many > 1")
     met = materialise(posted.join(lists, ["g", "key"]), "nearlists")
-    texts = rows.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.any_value("shingles").alias("shingles"))
-    texts = materialise(texts, "nearsets")
+    # of each node that meets another, one row's text gives the set
+    first = rows.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "th", "rh")).alias("x"))
+    first = first.select(row_key(F.col("x.doc_id"), F.col("x.th"), F.col("x.rh")).alias("_key"))
+    keyed = docs.select("text", row_key(F.col("doc_id"), F.xxhash64("text"), F.col("_rh")).alias("_key"))
+    texts = materialise(_sets_of(keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select("text")), "nearsets")
     short = met.filter(F.col("many") <= LINK_FROM)
     one, two = (short.select("g", "key", F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "uv")
     sizes = (F.col("u") < F.col("v")) & (F.least("nu", "nv") * 5 >= F.greatest("nu", "nv") * 4)
@@ -315,10 +334,11 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     """
     plain, (doc_id, text) = by_place(docs, "doc_id", "text")
     plain = plain.withColumn("_rh", row_hash(plain))
-    rows = materialise(shingle_sets(plain.select(doc_id.alias("doc_id"), text.alias("text"), "_rh")), "shingles")
+    mine = plain.select(doc_id.alias("doc_id"), text.alias("text"), "_rh")
+    rows = materialise(shingle_sets(mine), "shingles")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "rh")).alias("first")
     named = rows.groupBy("node").agg(first).withColumnRenamed("node", "own")
-    roots = connected_components(similar_sets(rows))
+    roots = connected_components(similar_sets(rows, mine))
     of = named.join(roots, named["own"] == roots["node"], "left").groupBy(F.coalesce("root", "own").alias("root")).agg(F.min("first").alias("first"))
     keep = of.select(row_key(F.col("first.doc_id"), F.col("first.th"), F.col("first.rh")).alias("_key")).distinct()
     keyed = plain.withColumn("_key", row_key(doc_id, F.xxhash64(text), F.col("_rh")))
