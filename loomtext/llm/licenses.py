@@ -80,7 +80,7 @@ TEMPLATES: dict[str, str] = {
 #: Words that tell licenses apart: those of a template must all be matched in place, and none of the others may stand there instead.
 NAMING = frozenset("mit apache gnu lesser affero mozilla eclipse bsd isc cc by sa nc nd zlib bsl unlicense creative sharealike noncommercial gpl lgpl agpl mpl epl spdx only cc0 0bsd 2 3 clause".split())
 #: Before a notice these turn it round.
-NEGATIONS = frozenset("not never no isn wasn aren without neither nor un".split())
+NEGATIONS = frozenset("not never isn wasn aren without neither".split())
 
 _WORDS = re.compile(r"\w+")
 
