@@ -197,6 +197,8 @@ def near_duplicates(docs: DataFrame, max_bits: int = 3, shingle: int = 3, seed:
 SHINGLE, BANDS, ROWS = 5, 32, 4
 #: Members of a band's list from which it is linked in one task; below, its pairs are joined.
 LINK_FROM = 64
+#: Sets of a long list that one task holds (two such blocks where lists are compared block against block).
+BLOCK = 1024
 _rng = np.random.default_rng(42)
 _TIMES, _PLUS = (_rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
@@ -297,11 +299,26 @@ def _sets_of(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node long, shingles array<long>")
 
 
+def _long_lists(lists: DataFrame, texts: DataFrame, dealt: list[Column]) -> DataFrame:
+    """Edges between the similar sets of long lists (g, key, node, many), each dealt to groups of about BLOCK sets, or two blocks of them."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(set_edges(pdf["node"].to_numpy(np.int64), [np.asarray(x, np.int64) for x in pdf["shingles"]]), columns=["u", "v"], dtype="int64")
+
+    groups = lists.withColumn("blocks", F.ceil(F.col("many") / F.lit(BLOCK)))
+    for i, c in enumerate(dealt):
+        groups = groups.withColumn(f"at{i}", c)
+    at = [f"at{i}" for i in range(len(dealt))][-2:]
+    return groups.select("g", "key", *at, "node").join(texts, "node").groupBy("g", "key", *at).applyInPandas(run, "u long, v long")
+
+
 def similar_sets(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """Edges (u, v) between nodes with the same components as all pairs of similar sets; rows as of shingle_sets(docs).
 
-    Sets that share a band's key are candidates. Of short lists every pair is verified on the whole sets; a long list goes to a task
-    that links its sets, so that many near copies never give all pairs.
+    Sets that share a band's key are candidates. Members of long lists are linked in their longest list first, in random blocks (twice, with other
+    blocks, if there are several), so a large group of near copies comes together while each of its sets moves once or twice. Lists
+    that lie in one component then have nothing to add. Of the others every pair is verified on the whole sets: short ones by
+    a join, long ones block against block, so no task holds more than two blocks and many near copies never give all pairs.
     """
     unique = rows.filter("n > 0").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
     posted = unique.select("node", "n", F.posexplode("bands").alias("g", "key"))
@@ -312,18 +329,22 @@ def similar_sets(rows: DataFrame, docs: DataFrame) -> DataFrame:
     first = first.select(row_key(F.col("x.doc_id"), F.col("x.th"), F.col("x.rh")).alias("_key"))
     keyed = docs.select("text", row_key(F.col("doc_id"), F.xxhash64("text"), F.col("_rh")).alias("_key"))
     texts = materialise(_sets_of(keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select("text")), "nearsets")
-    short = met.filter(F.col("many") <= LINK_FROM)
+    longest = met.filter(F.col("many") > LINK_FROM).groupBy("node").agg(F.max(F.struct("many", "g", "key")).alias("x")).select("x.*", "node")
+    rounds = longest.withColumn("round", F.explode(F.when(F.col("many") > BLOCK, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    linked = materialise(_long_lists(rounds, texts, [F.col("round"), F.pmod(F.xxhash64("node", "round"), F.col("blocks"))]), "nearlinks")
+    rooted = met.join(connected_components(linked), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = rooted.groupBy("g", "key").agg((F.min("root") != F.max("root")).alias("apart")).filter("apart").select("g", "key")
+    left = materialise(rooted.drop("root").join(apart, ["g", "key"], "left_semi"), "nearleft")
+    short = left.filter(F.col("many") <= LINK_FROM)
     one, two = (short.select("g", "key", F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "uv")
     sizes = (F.col("u") < F.col("v")) & (F.least("nu", "nv") * 5 >= F.greatest("nu", "nv") * 4)
     pairs = one.join(two, ["g", "key"]).filter(sizes).select("u", "v", "nu", "nv").distinct()
     pairs = pairs.join(texts.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u").join(texts.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
     edges = pairs.filter(similar(F.size(F.array_intersect("su", "sv")), F.col("nu"), F.col("nv"))).select("u", "v")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(set_edges(pdf["node"].to_numpy(np.int64), [np.asarray(x, np.int64) for x in pdf["shingles"]]), columns=["u", "v"], dtype="int64")
-
-    long = met.filter(F.col("many") > LINK_FROM).select("g", "key", "node").join(texts, "node")
-    return edges.unionByName(long.groupBy("g", "key").applyInPandas(run, "u long, v long"))
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    both = [mine, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))]
+    long = _long_lists(left.filter(F.col("many") > LINK_FROM), texts, [*both, F.least("at0", "at1"), F.greatest("at0", "at1")])
+    return linked.unionByName(edges).unionByName(long)
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:

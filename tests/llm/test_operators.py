@@ -307,9 +307,10 @@ def test_decontamination_finds_edits_at_all_offsets(spark):
     assert got[101, 1] == pytest.approx(4 / 6)
 
 
-@pytest.mark.parametrize("link_from", [64, 2])
-def test_representatives_are_those_of_brute_jaccard(spark, monkeypatch, link_from):
+@pytest.mark.parametrize(("link_from", "block"), [(64, 1024), (2, 1024), (2, 2)])
+def test_representatives_are_those_of_brute_jaccard(spark, monkeypatch, link_from, block):
     monkeypatch.setattr(simhash, "LINK_FROM", link_from)
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rng = np.random.default_rng(21)
     rows = []
     for base in range(25):
