@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm.alignment import banded
@@ -18,12 +18,17 @@ from loomtext.llm.common import pick, session
 
 #: Words of a fingerprint, fingerprints of a winnowing window, half-width of the alignment band.
 GRAM, WINDOW, BAND = 3, 2, 8
+#: Templates of fewer words are winnowed by windows of one, and of still fewer by pairs of words: a fifth of their words may be broken, which
+#: from 20 words on leaves four in a row, from 10 on three, and below that two.
+UNWINNOWED, PAIRS = 20, 10
 COVERAGE = 0.8
 #: Of a template at `coverage` a fifth of the words may be broken; runs of four whole words hold a fingerprint each, so more than one
 #: fingerprint in HITS words is left on the diagonals of a band.
 HITS = 20
-#: Words from which a template is a text and no notice.
-WHOLE = 25
+#: Words from which a template is a text and no notice, and from which so much is named in it that an edited copy may lack some of the names.
+WHOLE, LONG = 25, 500
+#: Bytes of templates that one folder may hold: they go to every task.
+TEMPLATE_BYTES = 16 << 20
 
 _WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
 _BSD_CLAUSES = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
@@ -109,7 +114,9 @@ class Index:
 
     def __init__(self, templates: dict[str, str]):
         self.number: dict[str, int] = {}
-        self.texts, self.naming, postings = {}, {}, {}
+        self.texts, self.naming = {}, {}
+        self.needed: dict[str, set[int]] = {}  # naming words of notices: without all of them in the text there is no such notice
+        postings: dict[int, dict[int, list[tuple[str, int]]]] = {GRAM: {}, 2: {}}
         for name, text in templates.items():
             ws = _WORDS.findall(text.lower())
             if len(ws) < GRAM:
@@ -118,15 +125,19 @@ class Index:
                 self.number.setdefault(w, xxhash.xxh64_intdigest(w, 3) >> 1 | 1)
             self.texts[name] = np.array([self.number[w] for w in ws], np.uint64)
             self.naming[name] = Counter(w for w in ws if w in NAMING)
-            keys = _keys(self.texts[name], GRAM)
-            for at in winnow(keys, WINDOW):
-                postings.setdefault(int(keys[at]), []).append((name, at))
-        self.postings = postings
-        self.sorted = np.sort(np.array(list(postings), np.uint64))
-
-    def _names(self, name: str, words: list[str], a: int, b: int) -> bool:
+            self.needed[name] = {self.number[w] for w in self.naming[name]} if len(ws) < WHOLE else set()
+            n = GRAM if len(ws) >= PAIRS else 2
+            keys = _keys(self.texts[name], n)
+            for at in winnow(keys, WINDOW if len(ws) >= UNWINNOWED else 1):
+                postings[n].setdefault(int(keys[at]), []).append((name, at))
+        self.postings = {n: p for n, p in postings.items() if p}
+        self.sorted = {n: np.sort(np.array(list(p), np.uint64)) for n, p in self.postings.items()}
+
+    def _names(self, name: str, words: list[str], a: int, b: int, coverage: float) -> bool:
         """Whether the words in place name this license and no other, and no negation stands before a short notice of it."""
         there = Counter(w for w in words[a:b] if w in NAMING)
+        if len(self.texts[name]) >= LONG:  # its relatives' whole texts compete with it by score
+            return (self.naming[name] - there).total() <= (1 - coverage) * self.naming[name].total()
         if there != self.naming[name] and (self.naming[name] - there or (there - self.naming[name] and len(self.texts[name]) < WHOLE)):
             return False
         return len(self.texts[name]) >= WHOLE or not NEGATIONS & set(words[max(0, a - 3) : a])
@@ -138,18 +149,18 @@ class Index:
         if len(ids) < GRAM:
             return []
         known = np.flatnonzero(ids)
-        if len(known) < GRAM:
-            return []
-        at = known[:-2][(known[2:] - known[:-2]) == 2] if GRAM == 3 else np.arange(len(ids) - GRAM + 1)
-        if not len(at):
-            return []
-        keys = _keys(ids, GRAM)[at]
-        place = np.minimum(np.searchsorted(self.sorted, keys), len(self.sorted) - 1)
-        hits = np.flatnonzero(self.sorted[place] == keys)
+        here = set(ids[known].tolist())
         diagonals: dict[str, list[int]] = {}
-        for h in hits.tolist():
-            for name, pos in self.postings[int(keys[h])]:
-                diagonals.setdefault(name, []).append(int(at[h]) - pos)
+        for n, postings in self.postings.items():
+            at = known[: 1 - n][known[n - 1 :] - known[: 1 - n] == n - 1]  # n words of templates in a row
+            if not len(at):
+                continue
+            keys = _keys(ids, n)[at]
+            place = np.minimum(np.searchsorted(self.sorted[n], keys), len(self.sorted[n]) - 1)
+            for h in np.flatnonzero(self.sorted[n][place] == keys).tolist():
+                for name, pos in postings[int(keys[h])]:
+                    if self.needed[name] <= here:
+                        diagonals.setdefault(name, []).append(int(at[h]) - pos)
         found, words = [], None
         for name, ds in diagonals.items():
             item = self.texts[name]
@@ -170,7 +181,7 @@ class Index:
                     score, matched, start, end = banded(item, ids[lo:hi], d - lo, BAND)
                     if matched and matched >= coverage * len(item):
                         words = words or _WORDS.findall(text.lower())
-                        if self._names(name, words, lo + start, lo + end):
+                        if self._names(name, words, lo + start, lo + end, coverage):
                             found.append((score, name, matched / len(item), matched, lo + start, lo + end))
                         rest += [(lo, lo + start), (lo + end, hi)]
         if not found:
@@ -186,6 +197,19 @@ class Index:
         return sorted((name, cover, matched, places[a][0], places[b - 1][1]) for _, name, cover, matched, a, b in kept)
 
 
+def read_templates(spark: SparkSession, folder: str) -> dict[str, str]:
+    """The built-in templates and the whole license texts of a folder, each file a template named like it (without .txt).
+
+    A file replaces the built-in template of its name. Files of fewer than three words are left out; a folder of more than
+    TEMPLATE_BYTES is refused, as templates are sent to every task.
+    """
+    files = spark.read.text(folder, wholetext=True).select(F.regexp_replace("_metadata.file_name", r"\.txt$", "").alias("name"), "value")
+    held = files.agg(F.sum(F.octet_length("value"))).first()[0] or 0
+    if held > TEMPLATE_BYTES:
+        raise ValueError(f"{folder} holds {held} bytes of templates, more than {TEMPLATE_BYTES}")
+    return TEMPLATES | {name: text for name, text in sorted(map(tuple, files.collect())) if len(_WORDS.findall(text)) >= GRAM}
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, license, coverage, matched_words, start, end): one row for each license passage found in a whole text.
 

@@ -212,6 +212,20 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_license_texts_of_a_folder(spark, tmp_path, monkeypatch):
+    text = " ".join(f"clause{i} of the gnu text" for i in range(200))
+    (tmp_path / "Long-1.0.txt").write_text(text)
+    (tmp_path / "MIT").write_text("these words replace it")
+    (tmp_path / "none").write_text("two words")
+    templates = licenses.read_templates(spark, str(tmp_path))
+    assert templates["Long-1.0"] == text and templates["MIT"] == "these words replace it" and "none" not in templates and "ISC" in templates
+    df = spark.createDataFrame([(1, "before " + text + " after"), (2, None), (3, text[: len(text) // 2])], "doc_id int, text string")
+    assert [tuple(r) for r in licenses.scan_licenses(df, templates).collect()] == [(1, "Long-1.0", 1.0, 1000, 7, 7 + len(text))]
+    monkeypatch.setattr(licenses, "TEMPLATE_BYTES", 10)
+    with pytest.raises(ValueError):
+        licenses.read_templates(spark, str(tmp_path))
+
+
 def test_sharding(spark, docs, empty):
     got = sharding.shard_table(docs, shards=5).collect()
     assert len(got) == len(ROWS)

@@ -313,6 +313,51 @@ def test_licenses_by_name():
     assert [g[0] for g in ix.scan("Licensed under the ISC License. Permission to use", 0.8)] == ["ISC-notice"]
 
 
+def test_license_notices_are_those_of_brute_alignment():
+    short = {n: t for n, t in licenses.TEMPLATES.items() if len(re.findall(r"\w+", t)) < 40}
+    ix = licenses.Index(short)
+    rng = np.random.default_rng(11)
+    split = licenses._WORDS.findall
+    many = 0
+    for name, text in short.items():
+        words = split(text.lower())
+        for edits in range(len(words) // 5 + 1):
+            for _ in range(6):
+                copy = list(words)
+                for at in rng.choice(len(copy), edits, replace=False).tolist():
+                    copy[at] = "other"
+                whole = ["aa"] * 4 + copy + ["bb"] * 4
+                ids = np.array([ix.number.get(w, 0) for w in whole], np.uint64)
+                found = []
+                for n, item in ix.texts.items():
+                    if (Counter(item.tolist()) & Counter(ids.tolist())).total() < 0.8 * len(item):
+                        continue  # no alignment can match so many
+                    score, matched, start, end = alignment.banded(item, ids, 0, len(whole) + len(item))
+                    if matched >= 0.8 * len(item) and ix._names(n, whole, start, end, 0.8):
+                        found.append((-score, start, n, end))
+                kept = []
+                for f in sorted(found):
+                    if not any(f[1] < g[3] and g[1] < f[3] for g in kept):
+                        kept.append(f)
+                assert [g[0] for g in ix.scan(" ".join(whole), 0.8)] == sorted(f[2] for f in kept)
+                many += len(kept)
+    assert many > 300
+
+
+def test_long_license_texts():
+    rng = np.random.default_rng(12)
+    long = [f"w{i}" for i in rng.integers(0, 300, 3000)]
+    for at in range(0, 3000, 60):
+        long[at] = "gnu"
+    kin = long[:1500] + ["affero"] * 5 + long[1500:2000] + [f"v{i}" for i in range(400)] + long[2400:]
+    ix = licenses.Index(licenses.TEMPLATES | {"Long-1": " ".join(long), "Kin-1": " ".join(kin)})
+    for name, words in (("Long-1", long), ("Kin-1", kin)):
+        edited = [w if rng.random() > 0.05 else "other" for w in words]
+        got = ix.scan("aa " * 300 + " ".join(edited) + " bb" * 300, 0.8)
+        assert [g[0] for g in got] == [name] and 0.9 < got[0][1] <= 1
+    assert ix.scan(" ".join(long[:2000]), 0.8) == []
+
+
 def test_a_document_without_votes_has_the_prior():
     posterior, accuracy, share = quality.expectation_maximisation({"---": 50, "g-g": 800, "bbb": 100, "gb-": 50})
     assert posterior["---"] == pytest.approx(share) and posterior["bbb"] < 0.5 < posterior["g-g"] and all(a >= 0 for a, _ in accuracy.values())
